@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblion.llm import residue
+from biblion.llm import mixing, packing, residue
 from biblion.session import table
 
 
@@ -19,5 +19,28 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_clean": p10_clean}
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacity"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(p8_pack(spark, sf_dir), table(spark, sf_dir, "pack_capacity"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+QUERIES = {
+    "p8_pack": p8_pack,
+    "p8_report": p8_report,
+    "p9_mix": p9_mix,
+    "p9_report": p9_report,
+    "p10_found": p10_found,
+    "p10_clean": p10_clean,
+}
 ORACLE: dict[str, str] = {}

@@ -32,7 +32,7 @@ SCRIPT_NOTICE = [
 ]
 ERROR_PAGE = [
     r"^(?:http|status|error|erreur|fehler|código)[: ]+(?:code )?#", r"\berror #", r"\b(?:not found|bad gateway|bad request|forbidden|gateway time-?out|too many requests|internal server error|service unavailable|unauthorized|access denied|request timeout)\b",
-    r"^traceback \(most recent", r"^error\b", r"^erreur\b", r"^fehler\b", r"오류", r"database connection", r"upstream", r"session has expired", r"maintenance", r"wartungsarbeiten", r"mantenimiento", r"점검 중",
+    r"^# gone\b", r"^traceback \(most recent", r"^error\b", r"^erreur\b", r"^fehler\b", r"오류", r"database connection", r"upstream", r"session has expired", r"maintenance", r"wartungsarbeiten", r"mantenimiento", r"점검 중",
     r"unavailable|no longer available|nicht erreichbar|nicht verfügbar|no disponible|indisponible|introuvable|nicht gefunden|no se ha encontrado",
     r"took too long|failed to load|cannot be reached|could not be loaded|has been removed|temporarily offline|timed out",
     r"don't have permission|no permission|permission to access|접근 권한|찾을 수 없습니다|acceso denegado|accès refusé|zugriff verweigert|captcha|verify (?:that )?you are human",
@@ -144,7 +144,7 @@ KEY_ROWS = ["qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz"]
 def _mashed(word: str) -> bool:
     half = word[: len(word) // 2]
     run = half if half and word == half * 2 else word
-    return set(word) == {"#"} or len(run) > 1 and any(run in row for row in KEY_ROWS)
+    return len(word) > 1 and len(set(word)) == 1 or word == "#" or len(run) > 1 and any(run in row for row in KEY_ROWS)
 
 
 def _masked(text: str) -> str:
