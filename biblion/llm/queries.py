@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblion.llm import mixing, packing, residue
+from biblion.llm import mixing, packing, residue, splitting
 from biblion.session import table
 
 
@@ -19,6 +19,17 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
 
 
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = table(spark, sf_dir, "split_limits")
+    chunks = splitting.split_items(table(spark, sf_dir, "article_chunks"), "id", "content", "source_section", limits, "article_chunks")
+    articles = splitting.split_items(table(spark, sf_dir, "article_input"), "uid", "full_text", None, limits, "article_input")
+    return chunks.unionByName(articles)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.oversized(p3_pieces(spark, sf_dir))
+
+
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacity"))
 
@@ -36,6 +47,8 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_pieces": p3_pieces,
+    "p3_found": p3_found,
     "p8_pack": p8_pack,
     "p8_report": p8_report,
     "p9_mix": p9_mix,
