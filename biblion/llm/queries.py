@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblion.llm import mixing, packing, residue, splitting
+from biblion.llm import mixing, packing, pairs, residue, splitting
 from biblion.session import table
 
 
@@ -19,6 +19,10 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defective_pairs(table(spark, sf_dir, "prompt_traces"), table(spark, sf_dir, "documents"))
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = table(spark, sf_dir, "split_limits")
     chunks = splitting.split_items(table(spark, sf_dir, "article_chunks"), "id", "content", "source_section", limits, "article_chunks")
@@ -47,6 +51,7 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
     "p3_pieces": p3_pieces,
     "p3_found": p3_found,
     "p8_pack": p8_pack,
