@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblion.llm import mixing, packing, pairs, residue, splitting
+from biblion.llm import mixing, packing, pairs, residue, scans, splitting
 from biblion.session import table
 
 
@@ -19,6 +19,18 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {name: table(spark, sf_dir, name).select("uid", "full_text") for name in ("article_input", "extracted_text")}
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.scan_noise(_scanned(spark, sf_dir))[0]
+
+
+def p1_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repair_texts(_scanned(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defective_pairs(table(spark, sf_dir, "prompt_traces"), table(spark, sf_dir, "documents"))
 
@@ -51,6 +63,8 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_repair": p1_repair,
     "p2_found": p2_found,
     "p3_pieces": p3_pieces,
     "p3_found": p3_found,
