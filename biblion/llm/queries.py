@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblion.llm import mixing, packing, pairs, residue, scans, splitting
+from biblion.llm import mixing, names, packing, pairs, residue, scans, splitting
 from biblion.session import table
 
 
@@ -46,6 +46,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.oversized(p3_pieces(spark, sf_dir))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.link_names(table(spark, sf_dir, "kg_entities"), table(spark, sf_dir, "haie_rev"))
+
+
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacity"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_pieces": p3_pieces,
     "p3_found": p3_found,
+    "p5_found": p5_found,
     "p8_pack": p8_pack,
     "p8_report": p8_report,
     "p9_mix": p9_mix,
