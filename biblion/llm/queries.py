@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblion.llm import mixing, names, packing, pairs, residue, scans, splitting
+from biblion.llm import matching, mixing, names, packing, pairs, residue, scans, splitting
 from biblion.session import table
 
 
@@ -50,6 +50,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.link_names(table(spark, sf_dir, "kg_entities"), table(spark, sf_dir, "haie_rev"))
 
 
+def p6_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.match_records(table(spark, sf_dir, "article_candidate"), table(spark, sf_dir, "haie_rev"), table(spark, sf_dir, "source_zones"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_match(spark, sf_dir).select("cand_uid", "uid")
+
+
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacity"))
 
@@ -73,6 +81,8 @@ QUERIES = {
     "p3_pieces": p3_pieces,
     "p3_found": p3_found,
     "p5_found": p5_found,
+    "p6_match": p6_match,
+    "p6_found": p6_found,
     "p8_pack": p8_pack,
     "p8_report": p8_report,
     "p9_mix": p9_mix,
