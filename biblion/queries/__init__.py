@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["records"]
+_MODULES = ["records", "catalog", "library", "graph"]
 
 
 def collect() -> tuple[dict, dict]:
