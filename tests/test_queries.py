@@ -4,6 +4,7 @@ import glob
 import math
 import os
 
+import pandas as pd
 import pytest
 
 DATA = "/root/testdata/sf0.001"
@@ -11,7 +12,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 
 
 def plain(v):
-    if v is None or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
         return None
     if hasattr(v, "tolist") and not isinstance(v, (str, bytes)):
         v = v.tolist()
