@@ -41,6 +41,11 @@ FILLER = [
     r"lorem ipsum", r"\btodo\b", r"\btbd\b", r"\bfixme\b", r"\bx{3,}\b", r"\bgoes here\b", r"\b(?:copy|headline|text|title|content|summary|abstract) here\b", r"\binsert text\b", r"\bsample text\b", r"\bsummary text\b", r"\bdummy\b", r"\bplaceholder (?:text|copy)\b",
     r"^<?add (?:key|#)", r"description pending", r"start writing here", r"to be supplied", r"replace this paragraph", r"before release", r"only here to show", r"\b(\w{2,})(?:[ ,]+\1){2,}", r"more words", r"blindtext", r"faux texte", r"texto de relleno", r"내용을 입력", r"자리만 채우",
 ]
+# Short sentences that go with a notice and say nothing of their own.
+COMPANION = [
+    r"\btry again\b", r"^(?:please )?(?:go back|return to|sign in|log in|contact (?:the|our|us)|check the address|reload|refresh)\b", r"\bwe apologi[sz]e\b", r"\bback by\b.*$", r"^thank you for your patience",
+    r"réessayer|veuillez réessayer", r"versuchen sie es", r"inténtelo de nuevo|vuelva a intentarlo", r"다시 (?:시도|이용)",
+]
 #: Words of dummy Latin; a segment made of them is filler.
 DUMMY_LATIN = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis "
@@ -133,6 +138,7 @@ _DIGITS = regex.compile(r"\p{Nd}+")
 _PROSE = regex.compile(r"(?:[.!。！…][\"'”’)\]]*|\[#\]\.?)$")
 _LATIN = frozenset(DUMMY_LATIN)
 _KINDS = [(kind, regex.compile(_any(p))) for kind, p in (("filler", FILLER), ("script", SCRIPT_NOTICE), ("error", ERROR_PAGE))]
+_COMPANION = regex.compile(_any(COMPANION))
 #: The wording of a notice fills its segment; a longer sentence with it writes about such things.
 LONGEST_NOTICE = 160
 
@@ -168,7 +174,7 @@ def describe(segment: str) -> tuple[str | None, bool]:
     cue = None
     if len(segment) <= LONGEST_NOTICE:
         cue = next((kind for kind, pattern in _KINDS if pattern.search(segment)), None)
-    return cue, len(segment) > 2 and bool(_PROSE.search(segment))
+    return cue, len(segment) > 2 and bool(_PROSE.search(segment)) and not (len(segment) <= 80 and _COMPANION.search(segment))
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -94,6 +94,14 @@ def sort_lines(text: str) -> list[Line]:
     def numeric(i: int) -> bool:
         return 0 <= i < n and bool(lines[i].text) and bool(_TABLE.match(lines[i].text))
 
+    # The first word of the next full line: had it fitted, a running line would have taken it.
+    following, word = [""] * n, ""
+    for i in range(n - 1, -1, -1):
+        following[i] = word
+        t = lines[i].text
+        if (len(t) >= 0.6 * width or t and _TERMINAL.search(t) and t[:1].islower()) and not _NOTICE.search(lines[i].text):
+            word = lines[i].text.split()[0]
+
     for i, x in enumerate(lines):
         if x.kind == "blank":
             continue
@@ -108,8 +116,10 @@ def sort_lines(text: str) -> list[Line]:
             early = len(t) <= width - 20
             caps = sum(w[:1].isupper() for w in words) >= 0.6 * len(words)
             near = any(not (0 <= j < n) or lines[j].kind == "blank" or lines[j].ff or x.ff for j in (i - 1, i + 1))
-            marked = bool(_NOTICE.search(t)) or seen[fold(t)] > 1 or bool(regex.search(r"^\d+\s{2,}|\s{2,}\d+$", t))
-            if early or len(t) <= width - 2 and (caps and len(words) > 1 or marked) or near and len(t) <= width - 10:
+            early_end = len(t) + 1 + len(following[i]) < width
+            again = seen[fold(t)] > 1 and early_end
+            marked = bool(_NOTICE.search(t)) or again or bool(regex.search(r"^\d+\s{2,}|\s{2,}\d+$", t))
+            if early or len(t) <= width - 2 and (caps and len(words) > 1 or marked) or near and len(t) <= width - 10 and early_end:
                 x.kind = "short"
         elif _NOTICE.search(t) and len(t) <= width - 10 and regex.match(r"^(?:©|\(c\))", t, regex.I):
             x.kind = "short"
