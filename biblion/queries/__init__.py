@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["records", "catalog", "library", "graph", "ingest", "text", "stream"]
+_MODULES = ["records", "catalog", "library", "graph", "ingest", "text", "stream", "wiki"]
 
 
 def collect() -> tuple[dict, dict]:
