@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["records", "catalog", "library", "graph", "ingest", "text", "stream", "wiki"]
+_MODULES = ["records", "catalog", "library", "graph", "ingest", "text", "stream", "wiki", "more"]
 
 
 def collect() -> tuple[dict, dict]:
