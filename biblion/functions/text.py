@@ -188,6 +188,11 @@ def word_tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(\w+|[^\w\s])"), F.lit(1))
 
 
+def unicode_word_tokens(c: Column) -> Column:
+    """Words of any script and single marks."""
+    return F.regexp_extract_all(c, F.lit(r"(?U)(\w+|[^\w\s])"), F.lit(1))
+
+
 def sentence_cut(c: Column) -> Column:
     """Up to the last full stop in the second half, else the last ? there, else the last !; short texts as they are."""
     n = F.length(c)

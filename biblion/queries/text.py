@@ -40,6 +40,12 @@ def fn_count_tokens(spark, d):
     return _docs(spark, d).where(F.col("text").rlike(r"^[\x01-\x7F]*$")).select("doc_id", F.size(T.word_tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
+@query()
+def fn_count_tokens_all(spark, d):
+    """Tokens of every document, of any script; ``fn_count_tokens`` keeps the ASCII ones its SQL asks for."""
+    return _docs(spark, d).where("text is not null").select("doc_id", F.size(T.unicode_word_tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
 @query("SELECT DISTINCT id, CASE WHEN source_section IS NULL THEN 'body' WHEN contains(lower(source_section),'abstract') THEN 'abstract' WHEN regexp_matches(lower(source_section),'introduction|background') THEN 'introduction' WHEN contains(lower(source_section),'method') THEN 'methods' WHEN contains(lower(source_section),'result') THEN 'results' WHEN contains(lower(source_section),'discussion') THEN 'discussion' WHEN contains(lower(source_section),'conclusion') THEN 'conclusion' WHEN regexp_matches(lower(source_section),'reference|bibliography') THEN 'references' ELSE 'body' END AS kind FROM article_chunks")
 def fn_chunk_type(spark, d):
     return table(spark, d, "article_chunks").select("id", T.chunk_type(F.col("source_section")).alias("kind")).distinct()

@@ -143,3 +143,14 @@ def test_stream_windows_and_resume(spark, tmp_path):
     s.processAllAvailable()
     assert {(r.window_start, r.n_events) for r in spark.table("w").collect()} == batch
     s.stop()
+
+
+def test_tokens_of_all_scripts_are_counted(spark, tmp_path):
+    import regex
+
+    from biblion.queries.text import fn_count_tokens_all
+
+    texts = ["Plain words, two.", "Die Pflegekräfte – müde.", "¿Qué es l'été?", "한국어 문장 하나.", "", None]
+    spark.createDataFrame([(i, "t", t) for i, t in enumerate(texts)], "doc_id long, title string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_tokens for r in fn_count_tokens_all(spark, str(tmp_path)).collect()}
+    assert got == {i: len(regex.findall(r"\w+|[^\w\s]", t)) for i, t in enumerate(texts) if t is not None}
