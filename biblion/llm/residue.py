@@ -1,23 +1,27 @@
 """Problem 10: template residue and error-page text.
 
-Two signals, both taken from aligning records of the same template over the whole
-corpus:
-
-* Slots. Records that share the words around a slot are aligned. A slot is unfilled
-  if it still holds a variable name, that is a name seen in several bracket styles. A
-  bracket that never varies between unlike records of one template is part of the
-  sentence (a text that writes about templates) and no slot.
-* Whole pages. Segments (lines and sentences, digits masked) with the wording of
-  notices seed the search. A segment that keeps company with seeds in most of its
-  records belongs to the page template; a seed that keeps company with prose in most
-  of its records is only mentioned there. A record is residue if it has a seed and no
-  prose of its own.
+Both signals come from aligning records of the same template over the whole corpus; one
+pass over the texts feeds both.
+
+* Slots. Records that share the words around a slot are aligned. Where what stands
+  there varies between them, it is a slot; it is unfilled if it still holds a variable
+  name, that is a name seen in several bracket styles, or a blank. A bracket that never
+  varies between unlike records of one template is part of the sentence (a text that
+  writes about templates) and no slot.
+* Whole pages. Segments (lines and sentences, digits masked) that recur over unlike
+  short records and keep out of long ones are the templates of error pages, notices and
+  filler. What words these have is learnt from the corpus, so that a template's text is
+  also known where its slots are filled in a way seen once; lists of wordings only tip
+  the balance.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from biblion.session import checkpoint
 
-# Wording of notices, by kind and language; matched in lower case with digits as #.
+# Wording of notices and filler; it only tips the balance where the corpus is undecided.
 SCRIPT_NOTICE = [
     r"java ?script", r"\bscripts?\b", r"\bscripting\b", r"\bcookies?\b", r"자바스크립트", r"스크립트", r"ジャバスクリプト|スクリプト",
 ]
@@ -70,81 +74,76 @@ STYLES = {
     "bracket": r"(?<!\[)\[([a-z_][\w.\- ]{1,40}?)\](?!\])",
     "under": r"(?<!\w)__([a-z][\w.]*?)__(?!\w)",
 }
-_ANY_BRACKET = r"\{|\$\{|<[%<A-Za-z_]|\[[A-Za-z_\[]|@@|%[A-Za-z_]|#[A-Za-z_]|__[A-Za-z]"
-
-
-def _any(patterns: list[str]) -> str:
-    return "|".join(patterns)
-
-
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    styles = [(name, regex.compile(p, regex.I)) for name, p in STYLES.items()]
-    words = regex.compile(r"\S+")
-    for batch in batches:
-        out: list[tuple] = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            spans: dict[tuple[int, int], tuple[str, str]] = {}
-            for style, pattern in styles:
-                for m in pattern.finditer(text):
-                    if not any(a <= m.start() < b for a, b in spans):
-                        spans[m.span()] = (style, m[1].lower().strip())
-            if not spans:
-                continue
-            marked, at, end = [], [], 0
-            for (a, b), found in sorted(spans.items()):
-                marked.append(text[end:a])
-                at.append((sum(map(len, marked)), found))
-                marked.append(" \u0001 ")
-                end = b
-            flat = "".join([*marked, text[end:]])
-            first = " ".join(words.findall(flat)[:6])
-            for place, (style, name) in at:
-                before = words.findall(flat[max(0, place - 80) : place])[-3:]
-                after = words.findall(flat[place + 3 : place + 83])[:2]
-                out.append((doc, style, name, " ".join([*before, "\u0002", *after]).lower(), first.lower()))
-        cols = list(zip(*out, strict=True)) if out else [[], [], [], [], []]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])],
-            names=["doc_id", "style", "name", "context", "opening"],
-        )
-
-
-def unfilled_fields(docs: DataFrame, min_styles: int = 3, min_records: int = 5) -> DataFrame:
-    """Documents with a slot that still holds a variable name: ``doc_id`` once each.
-
-    A name counts as a variable's if it occurs in ``min_styles`` bracket styles or
-    more. Brackets that are the same in all of at least ``min_records`` records with
-    different openings and the same words around them are text, not slots.
+#: Blanks that stand where a value should.
+BLANK = r"_{4,}|\[\s*\]|\{\s*\}|<\s*>|(?:\. ?){6,}"
+_STYLES = [(name, regex.compile(p, regex.I)) for name, p in STYLES.items()]
+_BLANK, _RUNS = regex.compile(BLANK), regex.compile(r"\S+")
+_MAY_HOLD = regex.compile(r"[{}<>\[\]@%#_]|\. ?\. ?\. ?\.")
+
+
+def slots(text: str) -> list[tuple[str, str, str, str]]:
+    """(style, name, words around, opening of the record) of each bracket and blank."""
+    if not _MAY_HOLD.search(text):
+        return []
+    spans: dict[tuple[int, int], tuple[str, str]] = {}
+    for style, pattern in _STYLES:
+        for m in pattern.finditer(text):
+            if not any(a <= m.start() < b for a, b in spans):
+                spans[m.span()] = (style, m[1].lower().strip())
+    for m in _BLANK.finditer(text):
+        if not any(a <= m.start() < b for a, b in spans):
+            spans[m.span()] = ("blank", "")
+    if not spans:
+        return []
+    marked, at, end, size = [], [], 0, 0
+    for (a, b), found in sorted(spans.items()):
+        marked += [text[end:a], " \u0001 "]
+        at.append((size + a - end, found))
+        size += a - end + 3
+        end = b
+    flat = "".join([*marked, text[end:]])
+    first = " ".join(_RUNS.findall(flat[:400])[:6]).lower()
+    out = []
+    for place, (style, name) in at:
+        before = _RUNS.findall(flat[max(0, place - 80) : place])[-3:]
+        after = _RUNS.findall(flat[place + 3 : place + 83])[:2]
+        out.append((style, name, " ".join([*before, "\u0002", *after]).lower(), first))
+    return out
+
+
+def unfilled_fields(scan: DataFrame, min_styles: int = 3, min_records: int = 5) -> DataFrame:
+    """Documents with a slot that still holds a variable name or a blank: ``doc_id`` once each.
+
+    A name counts as a variable's if it occurs in ``min_styles`` bracket styles or more.
+    Where the content is the same in all of at least ``min_records`` records with
+    different openings and the same words around, it is text and no slot; a blank
+    counts only where records of the same template show that a name belongs there.
     """
-    found = docs.where(F.col("text").rlike(_ANY_BRACKET)).select("doc_id", "text").mapInArrow(
-        _slots, "doc_id long, style string, name string, context string, opening string"
-    )
-    names = found.groupBy("name").agg(F.count_distinct("style").alias("n")).where(F.col("n") >= min_styles).select("name")
-    literal = (
-        found.groupBy("context")
-        .agg(
-            F.min(F.struct("style", "name")).alias("a"), F.max(F.struct("style", "name")).alias("b"),
-            F.approx_count_distinct("opening").alias("n"),
-        )
-        .where((F.col("a") == F.col("b")) & (F.col("n") >= min_records))
-        .select("context")
-    )
-    return found.join(names, "name", "left_semi").join(literal, "context", "left_anti").select("doc_id").distinct()
+    found = scan.where("rec = 'slot'").select("doc_id", "style", "name", "context", "opening")
+    names = found.where("style <> 'blank'").groupBy("name").agg(F.count_distinct("style").alias("n")).where(F.col("n") >= min_styles).select("name")
+    aligned = found.groupBy("context", "opening").agg(
+        F.min(F.struct("style", "name")).alias("a"), F.max(F.struct("style", "name")).alias("b"), F.max("name").alias("name")
+    ).groupBy("context").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.max("name").alias("name"), F.count(F.lit(1)).alias("n"))
+    literal = aligned.where((F.col("a") == F.col("b")) & (F.col("n") >= min_records)).select("context")
+    held = found.where("style <> 'blank'").join(names, "name", "left_semi").join(literal, "context", "left_anti")
+    of_names = aligned.where("name <> ''").join(names, "name", "left_semi").select("context")
+    blank = found.where("style = 'blank'").join(of_names, "context", "left_semi").join(literal, "context", "left_anti")
+    return held.select("doc_id").unionByName(blank.select("doc_id")).distinct()
 
 
 _TAGS = regex.compile(r"</?(?:html|head|body|h[1-6]|p|div|span|br|title|center)\b[^>]*>", regex.I)
 _PARTS = regex.compile(r"\s*\n+\s*|(?<=[.!?。！？…])\s+")
 _DIGITS = regex.compile(r"\p{Nd}+")
 _PROSE = regex.compile(r"(?:[.!。！…][\"'”’)\]]*|\[#\]\.?)$")
-_LATIN = frozenset(DUMMY_LATIN)
-_KINDS = [(kind, regex.compile(_any(p))) for kind, p in (("filler", FILLER), ("script", SCRIPT_NOTICE), ("error", ERROR_PAGE))]
-_COMPANION = regex.compile(_any(COMPANION))
-#: The wording of a notice fills its segment; a longer sentence with it writes about such things.
-LONGEST_NOTICE = 160
-
-
+_WORD = regex.compile(r"\p{Hangul}{1,2}|\p{L}+|[#~]|[^\s\p{L}]")
 # Rows of keys; words typed along them, or such a run twice, are no words.
 KEY_ROWS = ["qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz"]
+#: A record of so many segments or fewer is short.
+SHORT = 4
+#: Buckets in which words, pairs and triples of words are counted; this bounds what is collected and broadcast.
+BUCKETS = 1 << 20
+_LATIN, _LATIN_WORD = frozenset(DUMMY_LATIN), regex.compile(r"[a-z]+")
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def _mashed(word: str) -> bool:
@@ -157,105 +156,197 @@ def _masked(text: str) -> str:
     return _DIGITS.sub("#", text.lower()).strip()
 
 
+def _typed(segment: str) -> str:
+    """Words typed along the keys and dummy Latin have no wording of their own: such segments are all alike."""
+    raw = segment.split()
+    if len(raw) >= 3 and sum(map(_mashed, raw)) >= 0.8 * len(raw) and any(set(w) != {"#"} for w in raw):
+        return "~ ~ ~."
+    latin = [w in _LATIN for w in _LATIN_WORD.findall(segment)] if raw and _LATIN_WORD.fullmatch(raw[0].strip(".,")) else []
+    return "~ ~ ~." if latin and sum(latin) >= 0.8 * len(latin) else segment
+
+
 def segments(text: str, title: str | None = None) -> list[str]:
     """Distinct lines and sentences in lower case, digits masked, without tags and the record's own title."""
     own = _masked(title or "")
-    return list(dict.fromkeys(x for x in map(_masked, _PARTS.split(_TAGS.sub("\n", text))) if x and x != own))
+    return list(dict.fromkeys(_typed(x) for x in map(_masked, _PARTS.split(_TAGS.sub("\n", text))) if x and x != own))
 
 
-def describe(segment: str) -> tuple[str | None, bool]:
-    """The kind of notice whose wording a segment has, and whether it is a sentence."""
-    words = regex.sub(r"[^a-z ]", "", segment).split()
-    if words and sum(w in _LATIN for w in words) >= 0.8 * len(words):
-        return "filler", True
-    raw = segment.split()
-    if len(raw) >= 3 and sum(map(_mashed, raw)) >= 0.8 * len(raw) and not all(set(w) == {"#"} for w in raw):
-        return "filler", True
-    cue = None
-    if len(segment) <= LONGEST_NOTICE:
-        cue = next((kind for kind, pattern in _KINDS if pattern.search(segment)), None)
-    return cue, len(segment) > 2 and bool(_PROSE.search(segment)) and not (len(segment) <= 80 and _COMPANION.search(segment))
+def is_sentence(segment: str) -> bool:
+    return len(segment) > 2 and bool(_PROSE.search(segment))
+
+
+class Words:
+    """Buckets of a segment's words, pairs and triples of words, its edges included."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def buckets(self, segment: str) -> np.ndarray:
+        ids = []
+        if len(self.known) > 200_000:  # a cache only
+            self.known.clear()
+        for w in ("^", *_WORD.findall(segment), "$"):
+            h = self.known.get(w)
+            if h is None:
+                h = self.known[w] = xxhash.xxh64_intdigest(w)
+            ids.append(h)
+        h = np.array(ids, np.uint64)
+        two = h[:-1] * _A + (h[1:] ^ (h[1:] >> np.uint64(31))) * _B
+        three = two[:-1] * _C + h[2:] * _A if len(h) > 2 else two[:0]
+        return (np.concatenate([h[1:-1], two, three]) >> np.uint64(44)).astype(np.int64)
 
 
-def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, tuple[str | None, bool]] = {}
+_CUES = regex.compile("|".join([*SCRIPT_NOTICE, *ERROR_PAGE, *FILLER, *COMPANION]))
+
+
+def hinted(segment: str) -> bool:
+    """Whether a segment has the wording of notices, companions of theirs, or filler."""
+    return bool(_CUES.search(segment))
+
+
+def hash_of_set(parts: list[str]) -> int:
+    return xxhash.xxh64_intdigest("\n".join(sorted(parts))) - 2**63
+
+
+_SCHEMA = "rec string, doc_id long, style string, name string, context string, opening string, page long, segs array<string>, bucket int, n long"
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass for both halves: slots, short records, and in how many long records a bucket occurs."""
+    words = Words()
+    names = [x.split()[0] for x in _SCHEMA.split(", ")]
+    types = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.int64(), pa.list_(pa.string()), pa.int32(), pa.int64()]
     for batch in batches:
-        if len(known) > 200_000:  # a cache only: what it forgets is worked out again
-            known.clear()
-        ids, keys, cues, proses, with_cue, openings = [], [], [], [], [], []
+        rows: list[tuple] = []
+        held: list[np.ndarray] = []
         for doc, text, title in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found = []
+            rows += [("slot", doc, *x, None, None, None, None) for x in slots(text)]
             parts = segments(text, title)
-            start = xxhash.xxh64_intdigest(parts[0]) - 2**63 if parts else 0
-            for seg in parts:
-                if (what := known.get(seg)) is None:
-                    what = known[seg] = describe(seg)
-                found.append((xxhash.xxh64_intdigest(seg) - 2**63, *what))
-            cued = any(c for _, c, _ in found)
-            for key, cue, prose in found:
-                if cue or prose:
-                    ids.append(doc)
-                    keys.append(key)
-                    cues.append(cue)
-                    proses.append(prose)
-                    with_cue.append(cued)
-                    openings.append(start)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(cues, pa.string()), pa.array(proses, pa.bool_()), pa.array(with_cue, pa.bool_()), pa.array(openings, pa.int64())],
-            names=["doc_id", "key", "cue", "prose", "with_cue", "opening"],
-        )
-
-
-def residue_pages(docs: DataFrame, min_records: int = 3, share: float = 0.6) -> DataFrame:
-    """Documents that are nothing but a notice or filler: ``doc_id`` and ``kind``.
-
-    ``min_records`` records with unlike openings (copies of one record are no evidence)
-    make a segment's company count; ``share`` of its records have to agree. Segments
-    seen less often keep what their wording says.
+            if len(parts) > SHORT:
+                held.append(np.unique(np.concatenate([words.buckets(x) for x in parts])))
+            elif parts:
+                rows.append(("short", doc, None, None, None, None, hash_of_set(parts), parts, None, None))
+        if held:
+            flat, n = np.unique(np.concatenate(held), return_counts=True)
+            rows += [("long", None, None, None, None, None, None, None, b, k) for b, k in zip(flat.tolist(), n.tolist(), strict=True)]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 10
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    return checkpoint(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "title").mapInArrow(_scan, _SCHEMA))
+
+
+class PageModel:
+    """How much likelier a segment's words are in page templates than in content, by the company their records keep.
+
+    ``odds`` has the logarithm of a bucket's odds, 0 where it tells nothing; ``seen``
+    whether the corpus has it, ``again`` whether it recurs over unlike short records.
+    """
+
+    def __init__(self, odds: np.ndarray, seen: np.ndarray, again: np.ndarray):
+        self.odds, self.seen, self.again = odds, seen, again
+        self.words, self.known = Words(), {}
+
+    @classmethod
+    def of(cls, short: np.ndarray, long_: np.ndarray, min_pages: int) -> PageModel:
+        """From the number of unlike short and of long records of each bucket.
+
+        The share of short records over all buckets is the prior of both counts, so that
+        a bucket of few records tells little; buckets of fewer than ``min_pages`` short
+        records are no evidence for a template.
+        """
+        share = min(0.9, max(1e-3, short.sum() / max(1, short.sum() + long_.sum())))
+        prior = 2.0
+        odds = np.log((short + prior * share) / (long_ + prior * (1 - share))) - math.log(share / (1 - share))
+        again = short >= min_pages
+        return cls(np.where(again, odds, np.minimum(odds, 0)).astype(np.float32), short + long_ > 0, again)
+
+    def score(self, segment: str) -> tuple[float, float]:
+        """Mean logarithm of the odds over what is seen of a segment's words, pairs and triples, and the share of its words that recurs."""
+        got = self.known.get(segment)
+        if got is None:
+            if len(self.known) > 200_000:  # a cache only
+                self.known.clear()
+            b = self.words.buckets(segment)
+            n = max(1, (len(b) - 1) // 3)  # n words come first, then n + 1 pairs and n triples
+            got = self.known[segment] = (float(self.odds[b].sum() / max(1, self.seen[b].sum())), float(self.again[b[:n]].mean()))
+        return got
+
+
+def _counted(records: DataFrame, into: str) -> DataFrame:
+    """``bucket`` and in how many of the records (arrays of segments) it occurs, as column ``into``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            held = [np.unique(np.concatenate([words.buckets(x) for x in parts])) for parts in batch.column(0).to_pylist()]
+            flat, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(flat.astype(np.int32)), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+
+    return records.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias(into))
+
+
+def _dense(counts: DataFrame, column: str) -> np.ndarray:
+    """Counts by bucket: at most ``BUCKETS`` rows are collected."""
+    got = counts.toArrow()
+    out = np.zeros(BUCKETS)
+    out[got.column("bucket").to_numpy()] = got.column(column).to_numpy()
+    return out
+
+
+def residue_pages(docs: DataFrame, scan: DataFrame, min_pages: int = 3, odds: float = 0.7, hint: float = 0.4, share: float = 0.5, rounds: int = 2) -> DataFrame:
+    """Documents that are nothing but a page template's text: ``doc_id`` and ``kind``.
+
+    A segment is a template's if what is seen of its words, pairs and triples of words
+    is on average ``odds`` (logarithm) likelier in templates than in content, and a
+    ``share`` of its words recurs over unlike short records (copies of one record count
+    once); wording of notices and filler is worth ``hint``. A document is residue if it has such a segment and no sentence besides. From
+    the second round on, long documents found so count with the short ones. Where
+    nothing recurs, nothing is residue.
     """
-    segs = checkpoint(
-        docs.where(F.col("text").isNotNull())
-        .select("doc_id", "text", "title")
-        .mapInArrow(_segment_rows, "doc_id long, key long, cue string, prose boolean, with_cue boolean, opening long")
-    )
-    # A sentence's company over all documents; summed within partitions before the shuffle.
-    company = (
-        segs.where("cue is null")
-        .groupBy("key")
-        .agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.col("with_cue").cast("int")).alias("n_cue"),
-            F.approx_count_distinct("opening").alias("unlike"),
-        )
-        .where((F.col("unlike") >= min_records) & (F.col("n_cue") >= share * F.col("n")))
-        .select("key", F.lit(True).alias("belongs"))
-    )
-    rows = segs.where("with_cue").join(company, "key", "left")
-    prose = F.col("cue").isNull() & F.col("belongs").isNull()
-    own = rows.groupBy("doc_id").agg(F.sum(prose.cast("int")).alias("n_prose"))
-    seeds = rows.where("cue is not null").select("doc_id", "key", "cue").join(own, "doc_id")
-    # Cues that stand among prose in most records are mentions.
-    mentions = (
-        seeds.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("n_prose") > 0).cast("int")).alias("n_among"))
-        .where((F.col("n") >= min_records) & (F.col("n_among") >= share * F.col("n")))
-        .select("key")
-    )
-    return (
-        seeds.where("n_prose = 0")
-        .join(mentions, "key", "left_anti")
-        .groupBy("doc_id")
-        .agg(F.min("cue").alias("kind"))
-    )
-
-
-def template_residue(docs: DataFrame) -> DataFrame:
-    """Documents to exclude: ``doc_id``, ``kind`` (field, filler, error or script), one row each.
+    # Copies of a record are one page.
+    pages = scan.where("rec = 'short'").groupBy("page").agg(F.first("segs").alias("segs")).select("segs")
+    short, long_ = _dense(_counted(pages, "n"), "n"), _dense(scan.where("rec = 'long'").groupBy("bucket").agg(F.sum("n").alias("n")), "n")
+    text = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "title")
+    found, moved = None, 0.0
+    for _ in range(rounds):
+        model = PageModel.of(short + moved, long_ - moved, min_pages)
+        shared = docs.sparkSession.sparkContext.broadcast((model.odds, model.seen, model.again))
+
+        def judge(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known = PageModel(*shared.value)
+            for batch in batches:
+                rows = []
+                for doc, text, title in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    some, parts = False, segments(text, title)
+                    for seg in parts:
+                        mean, again = known.score(seg)
+                        template = again >= share and (mean >= odds or mean >= odds - hint and hinted(seg))
+                        if not template and is_sentence(seg):
+                            break  # a sentence of its own; most texts end the search with their first
+                        some |= template
+                    else:
+                        if some:
+                            rows.append((doc, parts if len(parts) > SHORT else None))
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.string()))], names=["doc_id", "segs"])
+
+        found = checkpoint(text.mapInArrow(judge, "doc_id long, segs array<string>"))
+        moved = _dense(_counted(found.where("segs is not null").select("segs"), "n"), "n")
+    return found.select("doc_id").distinct().withColumn("kind", F.lit("page"))
+
+
+def template_residue(docs: DataFrame, min_pages: int = 3) -> DataFrame:
+    """Documents to exclude: ``doc_id``, ``kind`` (field or page), one row each.
 
     Needs ``doc_id``, ``text`` and ``title``; NULL and empty texts are no residue (there
-    is nothing left of a template in them), repeated ids count once.
+    is nothing left of a template in them), rows with NULL ids are left out, repeated
+    ids count once.
     """
-    fields = unfilled_fields(docs).select("doc_id", F.lit("field").alias("kind"))
-    pages = residue_pages(docs)
+    scan = scanned(docs)
+    fields = unfilled_fields(scan).select("doc_id", F.lit("field").alias("kind"))
+    pages = residue_pages(docs, scan, min_pages)
     return fields.unionByName(pages).groupBy("doc_id").agg(F.min("kind").alias("kind"))
 
 
