@@ -18,8 +18,9 @@ pass over the texts feeds both.
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,12 @@ STYLES = {
 }
 #: Blanks that stand where a value should.
 BLANK = r"_{4,}|\[\s*\]|\{\s*\}|<\s*>|(?:\. ?){6,}"
-_STYLES = [(name, regex.compile(p, regex.I)) for name, p in STYLES.items()]
+#: What a text must hold for a style to occur in it: signs and how often.
+_NEEDS = {
+    "mustache": ("{{", 1), "shell": ("${", 1), "brace": ("{", 1), "erb": ("<%", 1), "jinja": ("{%", 1), "your": ("[", 1), "insert": ("[", 1), "at": ("@@", 2),
+    "percent": ("%", 2), "hash": ("#", 2), "angles": ("<<", 1), "angle": ("<", 1), "wiki": ("[[", 1), "bracket": ("[", 1), "under": ("__", 2),
+}
+_STYLES = [(name, *_NEEDS[name], regex.compile(p, regex.I)) for name, p in STYLES.items()]
 _BLANK, _RUNS = regex.compile(BLANK), regex.compile(r"\S+")
 _MAY_HOLD = regex.compile(r"[{}<>\[\]@%#_]|\. ?\. ?\. ?\.")
 
@@ -86,7 +92,9 @@ def slots(text: str) -> list[tuple[str, str, str, str]]:
     if not _MAY_HOLD.search(text):
         return []
     spans: dict[tuple[int, int], tuple[str, str]] = {}
-    for style, pattern in _STYLES:
+    for style, sign, times, pattern in _STYLES:
+        if sign not in text or times > 1 and text.count(sign) < times:
+            continue
         for m in pattern.finditer(text):
             if not any(a <= m.start() < b for a, b in spans):
                 spans[m.span()] = (style, m[1].lower().strip())
@@ -131,21 +139,22 @@ def unfilled_fields(scan: DataFrame, min_styles: int = 3, min_records: int = 5)
     return held.select("doc_id").unionByName(blank.select("doc_id")).distinct()
 
 
-_TAGS = regex.compile(r"</?(?:html|head|body|h[1-6]|p|div|span|br|title|center)\b[^>]*>", regex.I)
-_PARTS = regex.compile(r"\s*\n+\s*|(?<=[.!?。！？…])\s+")
-_DIGITS = regex.compile(r"\p{Nd}+")
-_PROSE = regex.compile(r"(?:[.!。！…][\"'”’)\]]*|\[#\]\.?)$")
-_WORD = regex.compile(r"\p{Hangul}{1,2}|\p{L}+|[#~]|[^\s\p{L}]")
+_TAGS = re.compile(r"</?(?:html|head|body|h[1-6]|p|div|span|br|title|center)\b[^>]*>", re.I)
+_PARTS = re.compile(r"\n|(?<=[.!?。！？…])\s+")
+_DIGITS = re.compile(r"\d+")
+_PROSE = re.compile(r"(?:[.!。！…][\"'”’)\]]*|\[#\]\.?)$")
+_WORD = re.compile(r"[가-힣]{1,2}|[^\W\d_]+|[^\s\w]|[\d_]+")
 # Rows of keys; words typed along them, or such a run twice, are no words.
 KEY_ROWS = ["qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz"]
 #: A record of so many segments or fewer is short.
 SHORT = 4
 #: Buckets in which words, pairs and triples of words are counted; this bounds what is collected and broadcast.
 BUCKETS = 1 << 20
-_LATIN, _LATIN_WORD = frozenset(DUMMY_LATIN), regex.compile(r"[a-z]+")
+_LATIN = frozenset(DUMMY_LATIN)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
+@lru_cache(200_000)
 def _mashed(word: str) -> bool:
     half = word[: len(word) // 2]
     run = half if half and word == half * 2 else word
@@ -156,19 +165,42 @@ def _masked(text: str) -> str:
     return _DIGITS.sub("#", text.lower()).strip()
 
 
+def _mostly(words: list[str], test: Callable[[str], bool]) -> bool:
+    """Whether four in five words pass, given up as soon as they can't."""
+    left = len(words) // 5
+    for w in words:
+        if not test(w):
+            left -= 1
+            if left < 0:
+                return False
+    return True
+
+
 def _typed(segment: str) -> str:
     """Words typed along the keys and dummy Latin have no wording of their own: such segments are all alike."""
     raw = segment.split()
-    if len(raw) >= 3 and sum(map(_mashed, raw)) >= 0.8 * len(raw) and any(set(w) != {"#"} for w in raw):
+    if len(raw) >= 3 and _mostly(raw, _mashed) and any(set(w) != {"#"} for w in raw) or raw and _mostly(raw, lambda w: w.strip(".,;:!?") in _LATIN):
         return "~ ~ ~."
-    latin = [w in _LATIN for w in _LATIN_WORD.findall(segment)] if raw and _LATIN_WORD.fullmatch(raw[0].strip(".,")) else []
-    return "~ ~ ~." if latin and sum(latin) >= 0.8 * len(latin) else segment
+    return segment
 
 
-def segments(text: str, title: str | None = None) -> list[str]:
-    """Distinct lines and sentences in lower case, digits masked, without tags and the record's own title."""
+def each_segment(text: str, title: str | None = None) -> Iterator[str]:
+    """Lines and sentences in order, in lower case, digits masked, without tags and the record's own title; worked out one by one."""
     own = _masked(title or "")
-    return list(dict.fromkeys(_typed(x) for x in map(_masked, _PARTS.split(_TAGS.sub("\n", text))) if x and x != own))
+    if "<" in text:
+        text = _TAGS.sub("\n", text)
+    at = 0
+    for m in _PARTS.finditer(text):
+        if (x := _masked(text[at : m.start()])) and x != own:
+            yield _typed(x)
+        at = m.end()
+    if (x := _masked(text[at:])) and x != own:
+        yield _typed(x)
+
+
+def segments(text: str, title: str | None = None) -> list[str]:
+    """Distinct segments."""
+    return list(dict.fromkeys(each_segment(text, title)))
 
 
 def is_sentence(segment: str) -> bool:
@@ -319,8 +351,9 @@ def residue_pages(docs: DataFrame, scan: DataFrame, min_pages: int = 3, odds: fl
             for batch in batches:
                 rows = []
                 for doc, text, title in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    some, parts = False, segments(text, title)
-                    for seg in parts:
+                    some, parts = False, []
+                    for seg in each_segment(text, title):
+                        parts.append(seg)
                         mean, again = known.score(seg)
                         template = again >= share and (mean >= odds or mean >= odds - hint and hinted(seg))
                         if not template and is_sentence(seg):
@@ -328,7 +361,7 @@ def residue_pages(docs: DataFrame, scan: DataFrame, min_pages: int = 3, odds: fl
                         some |= template
                     else:
                         if some:
-                            rows.append((doc, parts if len(parts) > SHORT else None))
+                            rows.append((doc, parts if len(set(parts)) > SHORT else None))
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.string()))], names=["doc_id", "segs"])
 
