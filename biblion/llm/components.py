@@ -11,19 +11,20 @@ from biblion.session import checkpoint
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``label`` (least node of the component) of all nodes in ``edges`` (``a``, ``b``, longs).
 
-    Each round takes the least label among neighbours and then the label's own label;
-    rounds grow with the logarithm of a component's length. A node of many edges is
-    pre-aggregated before its minimum is shuffled.
+    Each round takes the least label among a node's neighbours and then the label's own
+    label; rounds grow with the logarithm of a component's length. A node of many edges
+    is pre-aggregated before its minimum is shuffled. Every node is its own neighbour, so
+    one join and one aggregation carry a round's labels, old and new.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = checkpoint(both)
-    labels = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = checkpoint(both.unionByName(both.select("a", F.col("a").alias("b"))).distinct())
+    labels = checkpoint(both.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node"))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        step = step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
-        step = checkpoint(step)
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(
+            F.min("label").alias("least"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old")
+        )
+        jump = labels.select(F.col("node").alias("least"), F.col("label").alias("far"))
+        step = checkpoint(near.join(jump, "least").select(F.col("a").alias("node"), F.least("least", "far").alias("label"), "old"))
         if step.where("label <> old").isEmpty():
             return step.select("node", "label")
         labels = step.select("node", "label")
