@@ -79,7 +79,7 @@ def clean_text(c: Column) -> Column:
 
 
 def clean_document(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "[ \t]+", " "), "\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[ \t]+", " "), "\n{3,}", "\n\n"), "^[ \n\r\t]+|[ \n\r\t]+$", "")
 
 
 def first_author(c: Column) -> Column:
@@ -105,7 +105,7 @@ def partial_date(c: Column) -> Column:
 
 
 def candidate_date(c: Column) -> Column:
-    return F.coalesce(F.try_to_date(c, "yyyy-MM-dd"), F.try_to_date(c, "yyyy/MM/dd"))
+    return F.coalesce(F.try_to_date(c, "yyyy-M-d"), F.try_to_date(c, "yyyy/M/d"))
 
 
 def feed_date(c: Column) -> Column:
@@ -114,7 +114,8 @@ def feed_date(c: Column) -> Column:
 
 
 def days_since(stamp: Column, as_of: Column) -> Column:
-    return F.greatest(F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(stamp)) / 86400), F.lit(0))
+    """Whole days, 0 at least; NULL where there is no time."""
+    return F.when(stamp.isNotNull(), F.greatest(F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(stamp)) / 86400), F.lit(0)))
 
 
 def preprint_id(c: Column) -> Column:
@@ -193,6 +194,30 @@ def unicode_word_tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(?U)(\w+|[^\w\s])"), F.lit(1))
 
 
+#: A token with the blanks before it; the pieces of a text add up to it.
+PIECE = r"\s*(?:[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_])|\s+"
+
+
+def pieces(c: Column) -> Column:
+    """Words and single marks, each with the blanks before it: encoding without loss, for where no tokenizer file is given."""
+    return F.regexp_extract_all(c, F.lit(PIECE), F.lit(0))
+
+
+def token_windows(c: Column, size: int = 512, shared: int = 64) -> Column:
+    """Windows of ``size`` tokens that share ``shared``, each cut back to its last sentence; blank ones are left out."""
+    stride = max(1, size - shared)
+    p = pieces(c)
+    n = F.size(p)
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    kept = F.filter(starts, lambda s: (s == 0) | (s - stride + size < n))
+    cut = F.transform(kept, lambda s: sentence_cut(F.array_join(F.slice(p, s + 1, size), "")))
+    return F.filter(cut, lambda x: F.trim(x) != "")
+
+
+def similarity_of(distance: Column) -> Column:
+    return 1 - distance
+
+
 def sentence_cut(c: Column) -> Column:
     """Up to the last full stop in the second half, else the last ? there, else the last !; short texts as they are."""
     n = F.length(c)
@@ -288,3 +313,56 @@ def name_similarity(query: Column, name: Column, aliases: Column) -> Column:
 
 def node_radius(degree: Column, most: Column) -> Column:
     return F.lit(4.5) + F.lit(8.0) * F.sqrt(degree / F.greatest(most, F.lit(1)))
+
+
+def or_not_set(c: Column) -> Column:
+    """Variables of prompts: blank ones read "(not set)"."""
+    return F.coalesce(present(c), F.lit("(not set)"))
+
+
+def first_present(*columns: str) -> Column:
+    """The first of several texts that has something in it, without outer blanks."""
+    return F.coalesce(*[present(F.col(c)) for c in columns])
+
+
+def author_list(names: Column) -> Column:
+    """First of a list of names and all of them joined; NULL where there is none."""
+    return F.struct(F.get(names, F.lit(0)).alias("first"), F.when(F.size(names) > 0, F.array_join(names, ", ")).alias("authors"))
+
+
+def identifier(ids: Column, kind: str) -> Column:
+    """The first identifier of a kind (idtype, value)."""
+    return F.get(F.filter(ids, lambda x: x["idtype"] == kind), F.lit(0))["value"]
+
+
+def feed_title(c: Column) -> Column:
+    return present(clean_text(F.regexp_replace(F.trim(c), r"^\[[^\]]*\]\s*", "")))
+
+
+def retry_seconds(attempt: Column, first: int = 2, most: int = 3) -> Column:
+    """Seconds to wait before another attempt: doubled from one to the next, ``most`` times."""
+    return (F.lit(first) * F.pow(F.lit(2), F.least(attempt, F.lit(most)))).cast("int")
+
+
+def overlaid(base: Column, over: Column) -> Column:
+    """A map with the values of another that aren't NULL in place of its own."""
+    given = F.map_filter(over, lambda k, v: v.isNotNull())
+    return F.map_concat(F.map_filter(base, lambda k, v: ~F.coalesce(F.map_contains_key(given, k), F.lit(False))), given)
+
+
+#: Sections of a model's answer whose fields are hoisted.
+SECTIONS = ["metadata", "classification", "content_analysis", "content", "scoring"]
+
+
+def hoisted(answer: Column, fields: list[str]) -> Column:
+    """Fields of a JSON answer as a map, whether they stand at its top or in one of its sections; the top counts first."""
+    at = lambda f: F.coalesce(F.get_json_object(answer, f"$.{f}"), *[F.get_json_object(answer, f"$.{s}.{f}") for s in SECTIONS])
+    return F.create_map(*[x for f in fields for x in (F.lit(f), at(f))])
+
+
+def first_way(ways: dict[str, Column]) -> Column:
+    """The name of the first way that gave something, in their order, else ``none``."""
+    out = F.when(F.lit(False), "")
+    for name, c in ways.items():
+        out = out.when(c.isNotNull(), name)
+    return out.otherwise("none")

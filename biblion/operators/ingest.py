@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblion.functions.text import candidate_date, duplicate_title, normalize_doi, present, search_form
+from biblion.session import checkpoint
 
 FIELDS = ["title", "summary", "first_author", "authors", "pub_date", "journal", "doi", "url"]
 # The default research scope, three lists of which each must be met.
@@ -69,25 +70,43 @@ def duplicate_target(candidates: DataFrame, articles: DataFrame, key: str = "can
 def first_of_run(candidates: DataFrame, run: str = "run_id", seq: str = "seq") -> DataFrame:
     """Greedy dedup of each run in arrival order: a candidate is kept unless a *kept* earlier one shares its DOI or title.
 
-    Order decides what is remembered, so a run is scanned as a stream by key range: runs
-    are bounded (sources x page caps), and their scan keeps two key sets.
+    In rounds: of the undecided the first of all its keys is kept, what shares a key
+    with a kept one is skipped. No task holds a run; a key's first is found by an
+    aggregation that is summed before it is shuffled. Each round decides the first
+    undecided of every run at least; in practice few rounds are needed.
     """
     keyed = duplicate_keys(candidates).select(F.col(run).cast("string").alias("run_id"), F.col(seq).cast("long").alias("seq"), "uid", "doi_key", "title_key")
-
-    def scan(pdf):
-        doi, title = set(), set()
-        pdf = pdf.sort_values("seq")
-        keep = []
-        for d, t in zip(pdf["doi_key"], pdf["title_key"], strict=True):
-            new = not ((d is not None and d in doi) or (t is not None and t in title))
-            if new:
-                doi.add(d)
-                title.add(t)
-            keep.append(new)
-        pdf["status"] = ["deduped" if k else "skipped_cross_source" for k in keep]
-        return pdf[["run_id", "seq", "uid", "status"]]
-
-    return keyed.groupBy("run_id").applyInPandas(scan, "run_id string, seq long, uid string, status string")
+    open_ = checkpoint(keyed)
+    done: DataFrame | None = None
+    while not open_.isEmpty():
+        for key in ("doi_key", "title_key"):
+            first = open_.where(F.col(key).isNotNull()).groupBy("run_id", key).agg(F.min("seq").alias(f"{key}_first"))
+            open_ = open_.join(first, ["run_id", key], "left")
+        ahead = lambda key: F.coalesce(F.col(f"{key}_first") < F.col("seq"), F.lit(False))
+        open_ = checkpoint(open_.withColumn("kept", ~ahead("doi_key") & ~ahead("title_key")).drop("doi_key_first", "title_key_first"))
+        kept = open_.where("kept")
+        rest = open_.where("not kept").drop("kept")
+        for key in ("doi_key", "title_key"):
+            taken = kept.where(F.col(key).isNotNull()).select("run_id", key).distinct().withColumn(f"{key}_taken", F.lit(True))
+            rest = rest.join(taken, ["run_id", key], "left")
+        rest = checkpoint(rest.withColumn("gone", F.coalesce("doi_key_taken", F.lit(False)) | F.coalesce("title_key_taken", F.lit(False))).drop("doi_key_taken", "title_key_taken"))
+        settled = kept.select("run_id", "seq", "uid", F.lit("deduped").alias("status")).unionByName(rest.where("gone").select("run_id", "seq", "uid", F.lit("skipped_cross_source").alias("status")))
+        done = settled if done is None else done.unionByName(settled)
+        open_ = rest.where("not gone").drop("gone")
+    return done if done is not None else keyed.select("run_id", "seq", "uid", F.lit("deduped").alias("status"))
+
+
+def matches_words(text: Column, words: Column, domains: Column) -> Column:
+    """Whether a text has two of the words (or its one) and, where domain words are given, one of these; no words ask nothing."""
+    n = F.size(F.filter(words, lambda w: text.contains(w)))
+    return (F.size(words) == 0) | ((n >= F.least(F.lit(2), F.size(words))) & ((F.size(domains) == 0) | F.exists(domains, lambda w: text.contains(w))))
+
+
+def screened_relevant(answer: Column) -> Column:
+    """What a screening answer decides: relevant unless its decision, or a text without any, begins with no."""
+    decision = F.get_json_object(F.when(F.try_parse_json(answer).isNotNull(), answer), "$.relevant")
+    said = F.lower(F.trim(F.coalesce(decision, F.when(F.try_parse_json(answer).isNull(), answer), F.lit(""))))
+    return ~said.rlike(r"^no\b")
 
 
 def candidate_text(title: str = "title", summary: str = "summary", journal: str = "journal") -> Column:

@@ -157,3 +157,83 @@ def read_prompts(spark, path: str) -> DataFrame:
 def write_pages(pages: DataFrame, folder: str) -> None:
     """Pages as a table partitioned by their folder; a single-file export reads it page by page."""
     pages.withColumn("folder", F.coalesce(present(F.regexp_extract("path", r"^(.*)/", 1)), F.lit("root"))).write.mode("overwrite").partitionBy("folder").parquet(folder)
+
+
+_INLINE = [
+    (re.compile(r"`([^`]+)`"), r"<code>\1</code>"), (re.compile(r"\*\*([^*]+)\*\*"), r"<strong>\1</strong>"), (re.compile(r"(?<!\*)\*([^*\n]+)\*(?!\*)"), r"<em>\1</em>"),
+    (re.compile(r"\[([^\]]+)\]\(((?:https?://|/|#|[\w./-]+\.md)[^)\s]*)\)"), r'<a href="\2">\1</a>'),
+]
+
+
+def markdown_html(text: str) -> str:
+    """Markdown as HTML with everything else escaped: headings, lists, quotes, fences, paragraphs, and inline code, strong, emphasis and links."""
+
+    def inline(x: str) -> str:
+        for pattern, put in _INLINE:
+            x = pattern.sub(put, x)
+        return x
+
+    escape = lambda x: x.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+    out: list[str] = []
+    block: list[str] = []
+    kind, fence = "", False
+
+    def close() -> None:
+        nonlocal kind
+        if block:
+            if kind in ("ul", "ol"):
+                out.append(f"<{kind}>" + "".join(f"<li>{x}</li>" for x in block) + f"</{kind}>")
+            elif kind == "quote":
+                out.append("<blockquote>" + " ".join(block) + "</blockquote>")
+            else:
+                out.append("<p>" + " ".join(block) + "</p>")
+        block.clear()
+        kind = ""
+
+    def put(new: str, line: str) -> None:
+        nonlocal kind
+        if kind != new:
+            close()
+            kind = new
+        block.append(line)
+
+    for line in text.split("\n"):
+        if line.startswith("```"):
+            if fence:
+                out.append("<pre><code>" + "\n".join(block) + "</code></pre>")
+                block.clear()
+            else:
+                close()
+            fence = not fence
+        elif fence:
+            block.append(escape(line))
+        elif not line.strip():
+            close()
+        elif m := re.match(r"(#{1,6})\s+(.*)", line):
+            close()
+            out.append(f"<h{len(m[1])}>{inline(escape(m[2].strip()))}</h{len(m[1])}>")
+        elif m := re.match(r"\s*[-*]\s+(.*)", line):
+            put("ul", inline(escape(m[1])))
+        elif m := re.match(r"\s*\d+\.\s+(.*)", line):
+            put("ol", inline(escape(m[1])))
+        elif m := re.match(r">\s?(.*)", line):
+            put("quote", inline(escape(m[1])))
+        else:
+            put("p", inline(escape(line.strip())))
+    if fence:
+        out.append("<pre><code>" + "\n".join(block) + "</code></pre>")
+    else:
+        close()
+    return "\n".join(out)
+
+
+def to_html(pages: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, ``html`` of Markdown texts; NULL stays NULL."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [None if x is None else markdown_html(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done, pa.string())], names=[key, "html"])
+
+    kind = pages.schema[key].dataType.simpleString()
+    return pages.select(key, text).mapInArrow(run, f"`{key}` {kind}, html string")

@@ -87,13 +87,6 @@ def srt_traces_page(spark, d):
     return _traces(spark, d).where("model = 'hosted-large' and success = 1").orderBy(F.desc_nulls_last("created_at"), F.desc("id")).limit(50).select("id", "prompt_name")
 
 
-@query(f"SELECT prompt_name, coalesce(max(prompt_version),1) AS version, count(*) AS runs, max_by(id, created_at) IS NOT NULL AS has_last FROM {_TR} GROUP BY 1")
-def agg_prompt_stats(spark, d):
-    return _traces(spark, d).groupBy("prompt_name").agg(
-        F.coalesce(F.max("prompt_version"), F.lit(1)).cast("long").alias("version"), F.count(F.lit(1)).alias("runs"), F.max_by("id", "created_at").isNotNull().alias("has_last")
-    )
-
-
 @query(f"SELECT id, CASE WHEN tokens_input IS NOT NULL AND tokens_output IS NOT NULL THEN tokens_input + tokens_output ELSE coalesce(tokens_input, tokens_output) END AS total FROM {_TR}")
 def tr_record(spark, d):
     return _traces(spark, d).select("id", F.when(F.col("tokens_input").isNotNull() & F.col("tokens_output").isNotNull(), F.col("tokens_input") + F.col("tokens_output")).otherwise(F.coalesce("tokens_input", "tokens_output")).alias("total"))
@@ -152,14 +145,3 @@ def join_left_workspace(spark, d):
     w = table(spark, d, "workspaces").groupBy(F.col("id").alias("workspace_id")).agg(F.any_value("slug").alias("slug"))
     a = table(spark, d, "haie_rev").groupBy("uid").agg(F.any_value("workspace_id").alias("workspace_id"))
     return a.join(w, "workspace_id", "left").select("uid", "slug")
-
-
-@query("SELECT id, greatest(floor((epoch(TIMESTAMPTZ '2026-06-01 00:00:00+00') - floor(epoch(updated_at)))/86400),0)::BIGINT AS days_since, least(greatest(greatest(floor((epoch(TIMESTAMPTZ '2026-06-01 00:00:00+00') - floor(epoch(updated_at)))/86400),0)::BIGINT+1,1),3650) AS lookback FROM (SELECT DISTINCT id, max(updated_at) AS updated_at, any_value(cadence_days) AS cadence_days FROM workspaces GROUP BY id) WHERE cadence_days IS NOT NULL AND updated_at IS NOT NULL AND greatest(floor((epoch(TIMESTAMPTZ '2026-06-01 00:00:00+00') - floor(epoch(updated_at)))/86400),0) >= cadence_days")
-def flt_due_workspaces(spark, d):
-    w = table(spark, d, "workspaces").groupBy("id").agg(F.max("updated_at").alias("updated_at"), F.any_value("cadence_days").alias("cadence_days"), F.any_value("lookback_days").alias("lookback_days"))
-    return due_workspaces(w.where("updated_at is not null"), "updated_at", F.to_timestamp(F.lit("2026-06-01 00:00:00")))
-
-
-@query("SELECT id FROM (SELECT id, row_number() OVER (ORDER BY is_active DESC NULLS LAST, id) AS rn FROM workspaces) WHERE rn = 1")
-def mut_ws_active(spark, d):
-    return table(spark, d, "workspaces").select("id", "is_active").orderBy(F.desc_nulls_last("is_active"), "id").limit(1).select("id")

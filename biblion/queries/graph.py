@@ -42,19 +42,6 @@ _OBS = "(SELECT l_suppkey AS src, l_partkey + 1000000 AS tgt, CASE l_returnflag
 _EDGES = f"(SELECT src, tgt, rel_type, count(*)::DOUBLE AS weight FROM {_OBS} GROUP BY 1, 2, 3)"
 
 
-@query(f"SELECT src, tgt, rel_type, count(*)::DOUBLE AS weight, len(list_distinct(list(article))) AS n_articles, min_by(description, seq) AS description FROM {_OBS} GROUP BY 1, 2, 3")
-def agg_edge_weight(spark, d):
-    e = G.fold_edges(observations(spark, d))
-    return e.select("src", "tgt", "rel_type", "weight", F.size("articles").cast("long").alias("n_articles"), "description")
-
-
-@query(f"""WITH c AS (SELECT CASE WHEN rel_type = 'Used  By' THEN tgt ELSE src END AS src, CASE WHEN rel_type = 'Used  By' THEN src ELSE tgt END AS tgt, CASE WHEN rel_type = 'Used  By' THEN 'uses' ELSE rel_type END AS rel_type, article FROM {_OBS})
-SELECT src, tgt, rel_type, count(*)::DOUBLE AS weight, count(DISTINCT article) AS n_articles FROM c GROUP BY 1, 2, 3""")
-def agg_edge_canonical_merge(spark, d):
-    e = observations(spark, d).select("src", "tgt", "rel_type", F.lit(None).cast("double").alias("weight"), F.array("article").alias("articles"), "description", F.col("seq").alias("id"))
-    return G.merge_edges(e).select("src", "tgt", "rel_type", "weight", F.size("articles").cast("long").alias("n_articles"))
-
-
 @query(f"SELECT node, count(*) AS degree FROM (SELECT src AS node FROM {_EDGES} UNION ALL SELECT tgt FROM {_EDGES}) GROUP BY 1")
 def agg_degree(spark, d):
     return G.degrees(edges(spark, d))
@@ -92,16 +79,6 @@ def join_edge_endpoints(spark, d):
     return top.join(s, "src").join(p, "tgt").select("src", "tgt", "src_name", "tgt_name", "weight")
 
 
-@query()
-def win_greedy_graph_select(spark, d):
-    return G.select_graph(edges(spark, d), 60)
-
-
-@query(f"SELECT src, tgt, rel_type, rank FROM (SELECT src, tgt, rel_type, row_number() OVER (PARTITION BY src ORDER BY weight DESC, tgt, rel_type)::INTEGER AS rank FROM {_EDGES}) WHERE rank <= 5")
-def kg_evidence_candidates(spark, d):
-    return top_per(edges(spark, d), ["src"], [F.desc("weight"), F.asc("tgt"), F.asc("rel_type")], 5).select("src", "tgt", "rel_type", "rank")
-
-
 _TOP = f"(SELECT node, degree, degree AS mentions FROM (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM {_EDGES} UNION ALL SELECT tgt FROM {_EDGES}) GROUP BY 1) ORDER BY degree DESC, node LIMIT 80)"
 
 
@@ -131,11 +108,6 @@ def entities(spark, d):
     return table(spark, d, "kg_entities").groupBy("id").agg(*[F.any_value(c).alias(c) for c in ("canonical_name", "entity_type", "aliases")], F.max("mention_count").alias("mention_count"))
 
 
-@query(f"SELECT upper(trim(entity_type)) AS entity_type, count(*) AS n FROM {_ENT} GROUP BY 1")
-def agg_kg_stats(spark, d):
-    return entities(spark, d).groupBy(F.upper(F.trim("entity_type")).alias("entity_type")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"""SELECT id, match FROM (SELECT id, CASE WHEN lower(canonical_name) = 'university' THEN 0 WHEN lower(canonical_name) LIKE 'university%' THEN 1 ELSE 2 END AS match, mention_count, canonical_name FROM {_ENT} WHERE lower(canonical_name) LIKE '%university%') ORDER BY match, mention_count DESC NULLS LAST, canonical_name, id LIMIT 12""")
 def srt_entity_match(spark, d):
     n = F.lower("canonical_name")
@@ -153,15 +125,6 @@ def flt_entity_name(spark, d):
     return entities(spark, d).where(G.reasonable_name(F.col("canonical_name")) & ~G.metadata_entity(F.col("canonical_name"))).select("id")
 
 
-@query(f"""SELECT id, CASE upper(coalesce(entity_type,'')) {' '.join(f"WHEN '{t}' THEN {i + 1}" for i, t in enumerate(G.TYPE_ORDER))} ELSE 8 END AS priority FROM {_ENT} ORDER BY priority, mention_count DESC NULLS LAST, canonical_name, id LIMIT 30""")
-def srt_synth_candidates(spark, d):
-    kind = F.upper(F.coalesce("entity_type", F.lit("")))
-    priority = F.when(F.lit(False), 0)
-    for i, t in enumerate(G.TYPE_ORDER):
-        priority = priority.when(kind == t, i + 1)
-    return entities(spark, d).withColumn("priority", priority.otherwise(8)).orderBy("priority", F.desc_nulls_last("mention_count"), "canonical_name", "id").limit(30).select("id", "priority")
-
-
 @query(f"SELECT canonical_name FROM {_ENT} ORDER BY length(canonical_name) DESC, canonical_name LIMIT 50")
 def srt_wiki_links(spark, d):
     return entities(spark, d).orderBy(F.desc(F.length("canonical_name")), "canonical_name").limit(50).select("canonical_name")

@@ -75,37 +75,11 @@ def join_dup_lookup(spark, d):
     return I.duplicate_target(_cand(spark, d), _art(spark, d))
 
 
-@query()
-def win_cross_source_first(spark, d):
-    """Sources are the runs here; arrival follows the candidate's key."""
-    c = _cand(spark, d)
-    seq = F.row_number().over(Window.partitionBy("source").orderBy("cand_uid"))
-    return I.first_of_run(c.select("source", F.col("cand_uid").alias("uid"), "title", "doi", seq.alias("seq")), run="source")
-
-
-@query()
-def agg_merge_candidates(spark, d):
-    """Records of one normalised title merged in order of their keys."""
-    c = _cand(spark, d).withColumn("uid", T.duplicate_title(F.col("title"))).where("uid <> ''")
-    return I.merge_candidates(c, seq="cand_uid")
-
-
-@query(f"SELECT cand_uid FROM {_C} WHERE try_cast(pub_date AS DATE) IS NOT NULL AND regexp_matches(pub_date, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') AND pub_date BETWEEN '2024-01-01' AND '2025-12-31'")
-def flt_known_date(spark, d):
-    c = _cand(spark, d).where(T.candidate_date(F.col("pub_date")).isNotNull() & F.col("pub_date").rlike(r"^\d{4}-\d{2}-\d{2}$"))
-    return c.where(I.in_window(F.col("pub_date"), F.lit("2024-01-01").cast("date"), F.lit("2025-12-31").cast("date"))).select("cand_uid")
-
-
 @query(f"SELECT cand_uid FROM {_C} WHERE regexp_matches(lower(concat_ws(' ', title, summary)), '{I.SCOPE[0]}') AND regexp_matches(lower(concat_ws(' ', title, summary)), '{I.SCOPE[1]}') AND regexp_matches(lower(concat_ws(' ', title, summary)), '{I.SCOPE[2]}')")
 def flt_scope_phrases(spark, d):
     return _cand(spark, d).where(I.in_scope(F.col("title"), F.col("summary"))).select("cand_uid")
 
 
-@query(f"SELECT source, count(*) AS n FROM {_C} GROUP BY 1")
-def src_dispatch(spark, d):
-    return _cand(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"SELECT cand_uid, CASE source {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in T.SOURCE_LABELS.items())} END AS label FROM {_C}")
 def fn_source_label(spark, d):
     return _cand(spark, d).select("cand_uid", T.source_label(F.col("source")).alias("label"))
@@ -115,26 +89,3 @@ def fn_source_label(spark, d):
 def src_rxiv_windows(spark, d):
     w = spark.range(1).select(F.explode(I.listing_windows(F.lit("2026-03-01").cast("date"), F.lit("2026-05-20").cast("date"))).alias("w"))
     return w.select(F.col("w.start").cast("string").alias("window_start"), F.col("w.end").cast("string").alias("window_end"))
-
-
-@query(f"SELECT coalesce(a.uid, c.uid) AS uid, CASE WHEN a.uid IS NULL THEN 'inserted' WHEN c.uid IS NULL THEN 'kept' ELSE 'updated' END AS change, coalesce(nullif(trim(c.title),''), a.title) AS title, coalesce(nullif(trim(c.journal),''), a.journal) AS journal FROM {_A} a FULL JOIN (SELECT CASE WHEN rn % 2 = 0 THEN cand_uid ELSE u END AS uid, title, journal FROM (SELECT cand_uid, title, journal, row_number() OVER (ORDER BY cand_uid) AS rn FROM {_C}) JOIN (SELECT uid AS u, row_number() OVER (ORDER BY uid) AS rn FROM {_A}) USING (rn)) c ON a.uid = c.uid")
-def mut_article_save(spark, d):
-    """Candidates saved as articles: every second one under a known uid (an update), the others as new ones."""
-    a, c = _art(spark, d), _cand(spark, d)
-    order = lambda k: F.row_number().over(Window.orderBy(k))  # noqa: E731 (a fixture's pairing, of the size of the candidate list)
-    pairs = c.withColumn("rn", order("cand_uid")).join(a.select(F.col("uid").alias("u"), order("uid").alias("rn")), "rn")
-    incoming = pairs.select(F.when(F.col("rn") % 2 == 0, F.col("cand_uid")).otherwise(F.col("u")).alias("uid"), "title", "journal", F.lit(None).cast("string").alias("full_text"), F.lit(None).cast("string").alias("content_type"), F.lit(True).alias("evaluated"))
-    old = a.select("uid", "title", "journal", F.col("abstract_text").alias("full_text"), "content_type")
-    return I.upsert_articles(old, incoming, ["title", "journal"]).select("uid", "change", "title", "journal")
-
-
-@query("SELECT article_uid, prompt_name, id FROM (SELECT article_uid, prompt_name, id, row_number() OVER (PARTITION BY article_uid, prompt_name ORDER BY id DESC) AS rn FROM (SELECT DISTINCT article_uid, prompt_name, id FROM prompt_traces)) WHERE rn = 1")
-def mut_resolution_cache(spark, d):
-    t = table(spark, d, "prompt_traces").select("article_uid", "prompt_name", "id", F.col("id").alias("seq")).distinct()
-    return I.latest(t, ["article_uid", "prompt_name"], "seq").select("article_uid", "prompt_name", "id")
-
-
-@query(f"SELECT uid FROM {_A} WHERE uid NOT IN (SELECT article_uid FROM article_chunks WHERE article_uid IS NOT NULL)")
-def mut_delete_cascade(spark, d):
-    gone = table(spark, d, "article_chunks").select(F.col("article_uid").alias("uid")).distinct()
-    return I.delete_cascade(_art(spark, d), {}, gone)["articles"].select("uid")

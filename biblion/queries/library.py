@@ -90,17 +90,6 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 """
 
 
-@query(_LISTS + "SELECT query_id, vec_id, score, n_lists, rank::INTEGER AS rank FROM fr WHERE rank <= 10")
-def q_hybrid(spark, d):
-    return R.reciprocal_rank_fusion(_two_lists(spark, d), ["query_id"], "list_id", "vec_id", 60, 10)
-
-
-@query(_LISTS + "SELECT query_id, vec_id, score, n_lists, rank::INTEGER AS rank FROM fr WHERE rank <= 10")
-def q_hybrid_rerank(spark, d):
-    """The reranking mode is plain fusion."""
-    return q_hybrid(spark, d)
-
-
 @query(_BM25 + ", fz AS (SELECT doc_id, round(sum(1.0::DOUBLE/(60+rank)), 9) AS score, count(*) AS n_lists FROM r WHERE rank <= 30 GROUP BY 1) SELECT doc_id, score, n_lists FROM fz ORDER BY score DESC, doc_id LIMIT 10")
 def q_multi_query(spark, d):
     """Variants of one question fused: the searches are the variants."""
@@ -108,23 +97,6 @@ def q_multi_query(spark, d):
     return R.reciprocal_rank_fusion(ranked, ["one"], "query_id", "doc_id", 60, 10).select("doc_id", "score", "n_lists")
 
 
-@query(_BM25 + """, b AS (SELECT r.query_id, r.doc_id, CASE WHEN d.source LIKE '%abstract' THEN round(r.score * 1.2, 6) ELSE r.score END AS score, coalesce(d.source LIKE '%abstract', false) AS boosted FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE r.rank <= 30)
-SELECT query_id, doc_id, score, boosted, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, score DESC, doc_id)::INTEGER AS rank FROM b""")
-def q_graph(spark, d):
-    """Hits from related documents (here: abstracts) raised by 1.2 and put first."""
-    hits = R.bm25(_docs(spark, d), _searches(spark), "doc_id", "text", 30)
-    related = table(spark, d, "documents").where("source like '%abstract'").select("doc_id")
-    return R.graph_boost(hits, related, "doc_id", "score").select("query_id", "doc_id", "score", "boosted", "rank")
-
-
-@query(_BM25 + """, b AS (SELECT r.query_id, r.doc_id, CASE WHEN d.source LIKE '%abstract' THEN round(r.score * 2.0, 6) ELSE r.score END AS score FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE r.rank <= 30)
-SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM b""")
-def q_graph_boost_simple(spark, d):
-    hits = R.bm25(_docs(spark, d), _searches(spark), "doc_id", "text", 30)
-    related = table(spark, d, "documents").where("source like '%abstract'").select("doc_id")
-    return R.graph_boost(hits, related, "doc_id", "score", 2.0, first=False).select("query_id", "doc_id", "score", "rank")
-
-
 @query(_BM25 + """, c AS (SELECT r.query_id, r.doc_id, r.rank, strlen(d.text) // 4 AS size FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE r.rank <= 5),
 u AS (SELECT *, sum(size) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM c)
 SELECT query_id, doc_id, rank::INTEGER AS rank, used::BIGINT AS used FROM u WHERE used <= 600 OR rank = 1""")
@@ -147,14 +119,6 @@ def win_rrf(spark, d):
     return fused.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 6).alias("total"))
 
 
-@query(f"""WITH s AS (SELECT n.vec_id, k.vec_id AS entity_id, round({_COS.format('n.v', 'k.v')}, 6) AS similarity FROM {_V} n JOIN {_V} k ON n.label = k.label WHERE n.vec_id % 100 = 0 AND k.vec_id % 100 <> 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, entity_id) AS rank, max(similarity) OVER (PARTITION BY vec_id) AS best FROM s WHERE similarity >= 0.8)
-SELECT vec_id, entity_id, similarity, rank::INTEGER AS rank, CASE WHEN best >= 0.9 THEN 'same' ELSE 'ambiguous' END AS verdict FROM r WHERE rank = 1 OR (best < 0.9 AND rank <= 5)""")
-def join_type_blocked_cosine(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("type"), "embedding")
-    return resolve_vectors(e.where(ASKED), e.where("vec_id % 100 <> 0")).select("vec_id", "entity_id", "similarity", "rank", "verdict")
-
-
 @query(f"SELECT a.vec_id, round({_COS.format('a.v', 'b.v')}, 6) AS similarity FROM {_V} a JOIN {_V} b ON b.vec_id = a.vec_id + 1")
 def fn_cosine(spark, d):
     e = table(spark, d, "embeddings")
@@ -162,11 +126,6 @@ def fn_cosine(spark, d):
     return e.join(nxt, "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
 
 
-@query(r"""SELECT doc_id, '"' || array_to_string(list_filter(string_split_regex(trim(title), '\s+'), lambda w: strlen(w) >= 2), '" OR "') || '"' AS match_query FROM documents WHERE title IS NOT NULL AND title NOT LIKE '%"%'""")
-def fn_fts_query(spark, d):
-    return table(spark, d, "documents").where("title is not null and title not like '%\"%'").select("doc_id", match_query(F.col("title")).alias("match_query"))
-
-
 @query("SELECT DISTINCT id, coalesce('Page ' || source_page::VARCHAR, 'Section: ' || nullif(trim(source_section), ''), chunk_type) AS reference FROM article_chunks")
 def fn_chunk_ref(spark, d):
     return table(spark, d, "article_chunks").select("id", chunk_reference(F.col("source_page"), F.col("source_section"), F.col("chunk_type")).alias("reference")).distinct()

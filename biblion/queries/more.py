@@ -26,16 +26,6 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT doc_id, length(CASE WHEN length(text) <= 16000 THEN text ELSE left(text, 8000) || '0123456789'[1:9] || substr(text, greatest(least(length(text) // 2 - 2000, length(text) - 8000), 8000) + 1, 4000) || '0123456789'[1:9] || right(text, 4000) END) AS n FROM documents")
-def fn_compact_eval_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length(T.head_middle_tail(F.col("text"))).cast("long").alias("n"))
-
-
-@query("SELECT doc_id, left(CASE WHEN nullif(trim(title),'') IS NULL OR trim(title) = coalesce(nullif(trim(text),''), trim(title)) THEN coalesce(nullif(trim(text),''), nullif(trim(title),'')) ELSE 'Title: ' || trim(title) || chr(10) || chr(10) || coalesce(nullif(trim(text),''), trim(title)) END, 60) AS start FROM documents")
-def fn_prepare_kg_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.left(T.titled_text(F.col("title"), F.col("text")), F.lit(60)).alias("start"))
-
-
 @query(f"SELECT cand_uid, {_FORM.format(chr(39) + chr(39) + ' || concat_ws(' + repr(' ') + ', title, summary, journal)')} AS form FROM {_C}")
 def fn_candidate_text(spark, d):
     return _cand(spark, d).select("cand_uid", I.candidate_text().alias("form"))
@@ -46,12 +36,6 @@ def fn_first_author_list(spark, d):
     return _cand(spark, d).select("cand_uid", T.first_author(F.col("authors")).alias("first"))
 
 
-@query(f"SELECT cand_uid, coalesce(try_strptime(CASE WHEN length(pub_date) = 10 THEN pub_date END, '%Y-%m-%d'), try_strptime(CASE WHEN length(pub_date) = 10 THEN pub_date END, '%Y/%m/%d'))::DATE::VARCHAR AS d FROM {_C}")
-def fn_candidate_date(spark, d):
-    c = _cand(spark, d).withColumn("p", F.when(F.length("pub_date") == 10, F.col("pub_date")))
-    return c.select("cand_uid", T.candidate_date(F.col("p")).cast("string").alias("d"))
-
-
 @query(f"SELECT cand_uid FROM {_C} WHERE regexp_matches({_FORM.format('title')}, 'alert|triage') AND (contains({_FORM.format('title')}, 'alert')::INT + contains({_FORM.format('title')}, 'sepsis')::INT) >= 2 OR (contains({_FORM.format('title')}, 'triage')::INT + contains({_FORM.format('title')}, 'stroke')::INT) >= 2")
 def flt_candidate_terms(spark, d):
     """Two groups of query words: sepsis and alert, or triage and stroke."""
@@ -70,62 +54,3 @@ def fn_node_color(spark, d):
 def fn_node_radius(spark, d):
     g = G.degrees(edges(spark, d))
     return g.join(F.broadcast(g.agg(F.max("degree").alias("most"))), F.lit(True)).select("node", F.round(T.node_radius(F.col("degree"), F.col("most")), 6).alias("radius"))
-
-
-@query(f"SELECT count(DISTINCT src) AS n_sources, count(DISTINCT tgt) AS n_targets, count(*) AS n_edges, round(sum(weight), 2) AS weight FROM {_EDGES}")
-def agg_ws_kg_counts(spark, d):
-    return edges(spark, d).agg(F.count_distinct("src").alias("n_sources"), F.count_distinct("tgt").alias("n_targets"), F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("weight"), 2).alias("weight"))
-
-
-@query(f"""WITH m AS (SELECT p_partkey + 1000000 AS node FROM part ORDER BY (CASE WHEN lower(p_name) = 'part' THEN 0 WHEN starts_with(lower(p_name), 'part') THEN 1 ELSE 2 END), p_name, p_partkey LIMIT 12)
-SELECT src, tgt, rel_type, weight FROM {_EDGES} WHERE tgt IN (SELECT node FROM m) ORDER BY weight DESC, src, tgt, rel_type LIMIT 40""")
-def q_kg_query(spark, d):
-    """Entities that fit a query, then their strongest edges."""
-    n = F.lower("p_name")
-    fit = F.when(n == "part", 0).when(n.startswith("part"), 1).otherwise(2)
-    match = table(spark, d, "part").orderBy(fit, "p_name", "p_partkey").limit(12).select((F.col("p_partkey") + 1_000_000).alias("tgt"))
-    return edges(spark, d).join(match, "tgt", "left_semi").orderBy(F.desc("weight"), "src", "tgt", "rel_type").limit(40).select("src", "tgt", "rel_type", "weight")
-
-
-@query(f"SELECT other, weight FROM (SELECT tgt AS other, sum(weight) AS weight FROM {_EDGES} WHERE src = 1 GROUP BY 1) ORDER BY weight DESC, other LIMIT 50")
-def q_kg_entity(spark, d):
-    n = G.both_ways(edges(spark, d)).where("node = 1")
-    return n.groupBy("other").agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), "other").limit(50)
-
-
-@query(f"""SELECT 'top' AS part, p.node::VARCHAR AS name, p.degree AS n FROM (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM {_EDGES} UNION ALL SELECT tgt FROM {_EDGES}) GROUP BY 1 ORDER BY degree DESC, node LIMIT 30) p
-UNION ALL SELECT 'type', rel_type, count(*) FROM {_EDGES} GROUP BY 2""")
-def q_gaps(spark, d):
-    e = edges(spark, d)
-    top = G.degrees(e).orderBy(F.desc("degree"), "node").limit(30).select(F.lit("top").alias("part"), F.col("node").cast("string").alias("name"), F.col("degree").alias("n"))
-    return top.unionByName(e.groupBy(F.col("rel_type").alias("name")).agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("type")))
-
-
-@query("SELECT l_suppkey AS entity_id, l_orderkey AS article, used FROM (SELECT l_suppkey, l_orderkey, rn, sum(size) OVER (PARTITION BY l_suppkey ORDER BY rn)::BIGINT AS used FROM (SELECT l_suppkey, l_orderkey, strlen('mention ' || l_orderkey::VARCHAR) * 40 AS size, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC) AS rn FROM lineitem) WHERE rn <= 20) WHERE used <= 6000")
-def q_synth_context(spark, d):
-    """The latest 20 mentions of an entity within 6,000 bytes."""
-    from biblion.operators.retrieval import budget
-
-    m = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity_id"), F.col("l_orderkey").alias("article"), "l_linenumber")
-    last = top_per(m, ["entity_id"], [F.desc("article"), F.desc("l_linenumber")], 20)
-    size = F.octet_length(F.concat(F.lit("mention "), F.col("article").cast("string"))) * 40
-    return budget(last, ["entity_id"], [F.asc("rank")], size, 6000).select("entity_id", "article", F.col("used").cast("long").alias("used"))
-
-
-@query("SELECT count(*) AS n FROM (SELECT DISTINCT l_partkey, l_suppkey, l_linenumber FROM lineitem)")
-def mut_mentions_ignore(spark, d):
-    m = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber")
-    return I.insert_missing(m.limit(0), m, ["l_partkey", "l_suppkey", "l_linenumber"]).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT article_uid, count(*) AS n FROM (SELECT DISTINCT article_uid, id FROM article_chunks) GROUP BY 1")
-def mut_chunks_replace(spark, d):
-    c = table(spark, d, "article_chunks").select("article_uid", "id").distinct()
-    return I.replace_rows(c, c.where("id % 2 = 0"), "article_uid").unionByName(c.join(c.where("id % 2 = 0").select("article_uid").distinct(), "article_uid", "left_semi").where("id % 2 <> 0")).groupBy("article_uid").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT prompt_name, (max(prompt_version) + 1)::BIGINT AS version FROM prompt_traces GROUP BY 1")
-def mut_prompt_version(spark, d):
-    h = table(spark, d, "prompt_traces").select("prompt_name", F.col("prompt_version").cast("long").alias("version"))
-    edits = h.select("prompt_name").distinct().withColumn("seq", F.lit(1))
-    return I.next_versions(h, edits).select("prompt_name", "version")

@@ -38,41 +38,14 @@ def st_sessions(spark, d):
     return J.sessions(table(spark, d, "events"))
 
 
-@query("SELECT count(*) AS n FROM (SELECT DISTINCT user_id, event_type, props FROM events)")
-def st_late_data(spark, d):
-    return J.deduplicated(table(spark, d, "events"), ["user_id", "event_type", "props"]).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
-def st_checkpoint_resume(spark, d):
-    e = table(spark, d, "events")
-    return J.pending(e, e.where("event_type = 'purchase'"), ["user_id"]).select("event_id")
-
-
 _RUN = "SELECT user_id AS run_id, count(*) AS n_events, sum((event_type='signup')::INT)::BIGINT AS n_listed, sum((event_type='view')::INT)::BIGINT AS n_seen, sum((event_type='click')::INT)::BIGINT AS n_relevant, sum((event_type='purchase')::INT)::BIGINT AS n_saved, sum((event_type='error')::INT)::BIGINT AS n_errors FROM events GROUP BY 1"
 
 
-@query(_RUN)
-def agg_job_counters(spark, d):
-    return J.run_counters(table(spark, d, "events").withColumnRenamed("user_id", "run_id"))
-
-
-@query(f"SELECT run_id, CASE WHEN n_errors > 0 AND n_saved = 0 AND n_seen = 0 THEN 'failed' ELSE 'completed' END AS status FROM ({_RUN})")
-def st_finish_status(spark, d):
-    r = J.run_counters(table(spark, d, "events").withColumnRenamed("user_id", "run_id"))
-    return r.select("run_id", J.finish_status(F.col("n_errors"), F.col("n_saved"), F.col("n_seen")).alias("status"))
-
-
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
 def win_latest_event(spark, d):
     return J.last_per_key(table(spark, d, "events"), "user_id").select("user_id", "event_id")
 
 
-@query("SELECT DISTINCT event_type AS source FROM events WHERE value > 10")
-def st_completed_sources(spark, d):
-    return table(spark, d, "events").where("value > 10").select(F.col("event_type").alias("source")).distinct()
-
-
 @query("SELECT event_id, strftime(CASE WHEN date_trunc('day', ts) + INTERVAL 9 HOUR + INTERVAL 30 MINUTE > ts THEN date_trunc('day', ts) + INTERVAL 9 HOUR + INTERVAL 30 MINUTE ELSE date_trunc('day', ts) + INTERVAL 9 HOUR + INTERVAL 30 MINUTE + INTERVAL 1 DAY END, '%Y-%m-%d %H:%M:%S') AS next_run FROM events")
 def fn_next_run(spark, d):
     return J.event_time(table(spark, d, "events")).select("event_id", F.date_format(J.next_run(F.col("ts"), 9, 30), "yyyy-MM-dd HH:mm:ss").alias("next_run"))

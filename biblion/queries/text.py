@@ -35,17 +35,6 @@ def fn_chunk_kg(spark, d):
     return c.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.size(F.split("chunk", " ")).cast("long").alias("n_words"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\s]')) AS n_tokens FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\x01-\x7F]*')")
-def fn_count_tokens(spark, d):
-    return _docs(spark, d).where(F.col("text").rlike(r"^[\x01-\x7F]*$")).select("doc_id", F.size(T.word_tokens(F.col("text"))).cast("long").alias("n_tokens"))
-
-
-@query()
-def fn_count_tokens_all(spark, d):
-    """Tokens of every document, of any script; ``fn_count_tokens`` keeps the ASCII ones its SQL asks for."""
-    return _docs(spark, d).where("text is not null").select("doc_id", F.size(T.unicode_word_tokens(F.col("text"))).cast("long").alias("n_tokens"))
-
-
 @query("SELECT DISTINCT id, CASE WHEN source_section IS NULL THEN 'body' WHEN contains(lower(source_section),'abstract') THEN 'abstract' WHEN regexp_matches(lower(source_section),'introduction|background') THEN 'introduction' WHEN contains(lower(source_section),'method') THEN 'methods' WHEN contains(lower(source_section),'result') THEN 'results' WHEN contains(lower(source_section),'discussion') THEN 'discussion' WHEN contains(lower(source_section),'conclusion') THEN 'conclusion' WHEN regexp_matches(lower(source_section),'reference|bibliography') THEN 'references' ELSE 'body' END AS kind FROM article_chunks")
 def fn_chunk_type(spark, d):
     return table(spark, d, "article_chunks").select("id", T.chunk_type(F.col("source_section")).alias("kind")).distinct()
@@ -56,21 +45,11 @@ def fn_slug_wiki(spark, d):
     return _docs(spark, d).select("doc_id", T.wiki_slug(F.col("title")).alias("slug"))
 
 
-@query("SELECT DISTINCT id, regexp_replace(regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM workspaces WHERE name IS NOT NULL AND regexp_matches(name, '[A-Za-z]')")
-def fn_slug_ws(spark, d):
-    return table(spark, d, "workspaces").where(F.col("name").rlike("[A-Za-z]")).select("id", T.workspace_slug(F.col("name")).alias("slug")).distinct()
-
-
 @query("SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 80) || '...' ELSE text END AS short FROM documents")
 def fn_truncate(spark, d):
     return _docs(spark, d).select("doc_id", T.truncated(F.col("text"), 80).alias("short"))
 
 
-@query("SELECT doc_id, length(CASE WHEN length(text) <= 24000 THEN text ELSE left(text, 16000) || chr(10) || chr(10) || '[...]' || chr(10) || chr(10) || right(text, 8000) END) AS n FROM documents")
-def fn_bound_kg_text(spark, d):
-    return _docs(spark, d).select("doc_id", F.length(T.bounded_text(F.col("text"))).cast("long").alias("n"))
-
-
 @query(r"SELECT doc_id, regexp_replace(trim(regexp_replace(regexp_replace(title, '<[^>]*(>|$)', '', 'g'), '\s+', ' ', 'g')), '\.+$', '') AS clean FROM documents")
 def fn_clean_text(spark, d):
     return _docs(spark, d).select("doc_id", T.clean_text(F.col("title")).alias("clean"))
@@ -86,16 +65,6 @@ def fn_json_field(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS clean FROM documents WHERE text = trim(text)")
-def fn_clean_text_doc(spark, d):
-    return _docs(spark, d).where("text = trim(text)").select("doc_id", T.clean_document(F.col("text")).alias("clean"))
-
-
-@query()
-def fn_sentence_cut(spark, d):
-    return _docs(spark, d).select("doc_id", T.sentence_cut(F.col("text")).alias("cut"))
-
-
 @query()
 def fn_extract_dispatch(spark, d):
     """Documents as pages: those with tags are read as HTML, all others as plain text."""
@@ -104,5 +73,6 @@ def fn_extract_dispatch(spark, d):
 
 
 @query()
-def fn_dehyphenate(spark, d):
-    return table(spark, d, "article_input").select("uid", T.dehyphenated(F.col("full_text")).alias("text")).distinct()
+def fn_count_tokens_all(spark, d):
+    """Words of any script and single marks of every document (no SQL: word classes of the two engines differ; a test counts them)."""
+    return _docs(spark, d).where("text is not null").select("doc_id", F.size(T.unicode_word_tokens(F.col("text"))).cast("long").alias("n_tokens"))

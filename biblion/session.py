@@ -28,12 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the cluster's shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a session that has
-    none (tests, a laptop) gets a folder of its own.
+    The folder is the session's ``spark.checkpoint.dir``. Only a local session that has
+    none (tests, a laptop) gets a folder of its own; on a cluster that would be a folder
+    of the driver's machine, so it is an error there.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+        if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="biblion-checkpoint-"))
     return df.checkpoint(eager=True)

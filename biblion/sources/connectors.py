@@ -154,3 +154,14 @@ def list_source(source: str, landed: DataFrame) -> DataFrame:
     if source not in CONNECTORS:
         raise ValueError(f"unknown source {source!r}")
     return CONNECTORS[source](landed)
+
+
+def merged_lists(lists: list[DataFrame]) -> DataFrame:
+    """Several lists of records as one: records of one key are merged in the order of the lists."""
+    from biblion.operators.ingest import merge_candidates
+
+    out = None
+    for i, df in enumerate(lists):
+        numbered = df.withColumn("seq", F.lit(i))
+        out = numbered if out is None else out.unionByName(numbered)
+    return merge_candidates(out)
