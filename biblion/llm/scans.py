@@ -12,6 +12,7 @@ ranked by frequency.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,12 +32,13 @@ CONFUSIONS = [
 HYPHENS = "-‐‑¬­"
 #: A word is frequent against a rare one at this ratio, and from this count on.
 RATIO, LEAST = 8, 8
-#: So many of the most frequent words travel to the workers; all others are looked up by a join.
+#: A word with a sign or figure amid its letters needs no more than this ratio and count on the other side: the sign speaks against it.
+SIGN_RATIO, SIGN_LEAST = 1, 2
+#: So many of the most frequent words that aren't misread travel to the workers, which leave them out of what is looked up by a
+#: join; the number changes how much is joined, never the result.
 COMMON_WORDS = 40_000
 
 _TOKEN_EDGE = "\"'“”‘’«»()[]{}.,;:?/*_"
-_ODD = regex.compile(r"[@†‡$!|€£¢¡+&0-9]")
-_NUMBER_LIKE = regex.compile(r"^[\[(]?[\dOolISBZ]+(?:[.,/:–-][\dOolISBZ]+)*%?[\])]?$")
 _ROMAN = regex.compile(r"^[ivxlc]+$", regex.I)
 _PAGE = regex.compile(r"^(?:(?:page|p\.?|pg\.?|seite|- |– |— |\[|\|)\s*)?([\dOolIS]{1,5}|[ivxlc]{1,7})(?:\s*(?:of|/)\s*[\dOolIS]{1,5})?\s*(?:-|–|—|\]|\|)?$", regex.I)
 _TABLE = regex.compile(r"^[\dOolIS.,%±()/–-]+(?:\s{2,}[\dOolIS.,%±()/–-]+)*$")
@@ -44,8 +46,10 @@ _TERMINAL = regex.compile(r"[.!:…][\"'”’)\]]*$")
 #: Lines that only furniture has: a number set apart from the wording, or authors and title.
 _RUNNING = regex.compile(r"^[\dOolI]{1,5}\s{2,}\S|\S\s{2,}[\dOolI]{1,5}$|\bet al\. / ")
 #: A sign or a figure amid letters.
-_SIGN_INSIDE = regex.compile(r"^[@†‡$!|€£¢]\p{L}|\p{L}[@†‡$|€£¢]|\p{L}![\p{L}]|\p{Ll}\d\p{Ll}")
+SIGNED = r"[@†‡$|€£¢!¡+(0-9]"
 _FOLD = str.maketrans({"0": "o", "1": "i", "l": "i", "!": "i", "|": "i", "5": "s", "$": "s", "@": "a", "†": "t", "c": "e", "8": "b", "9": "g", "q": "g"})
+_EDGE_NUMBERS, _NO_LETTERS = re.compile(r"^\s*\d+\s+|\s+\d+\s*$"), re.compile(r"[^a-z]+")
+_GAP, _NUMBERED, _COPYRIGHT = re.compile(r"\S\s{2,}\S"), re.compile(r"^\d+\s{2,}|\s{2,}\d+$"), re.compile(r"^(?:©|\(c\))", re.I)
 _NOTICE = regex.compile(r"(?:©|\(c\)|\bvol\.|\bno\.\s*\d|et al\. /|\bdoi\b|https?://|\bissn\b)", regex.I)
 
 
@@ -56,12 +60,11 @@ def tokens(line: str) -> list[str]:
 
 def fold(line: str) -> str:
     """A line's wording whatever the case, the digits and the usual confusions."""
-    words = regex.sub(r"(?:^\s*\d+\s+|\s+\d+\s*$)", " ", line.lower())
-    return regex.sub(r"[^a-z]+", " ", words.translate(_FOLD)).strip()
+    return _NO_LETTERS.sub(" ", _EDGE_NUMBERS.sub(" ", line.lower()).translate(_FOLD)).strip()
 
 
 class Line:
-    __slots__ = ("no", "text", "kind", "ff")
+    __slots__ = ("no", "text", "kind", "ff", "fold")
 
     def __init__(self, no: int, text: str):
         self.no, self.ff = no, "\f" in text
@@ -88,7 +91,9 @@ def sort_lines(text: str) -> list[Line]:
     """Lines with their kind: blank, body, number, table or short (headings and furniture)."""
     lines = [Line(i, x) for i, x in enumerate(text.split("\n"))]
     width = page_width([x.text for x in lines])
-    seen = Counter(fold(x.text) for x in lines if x.text)
+    for x in lines:
+        x.fold = fold(x.text) if x.text else ""
+    seen = Counter(x.fold for x in lines if x.text)
     n = len(lines)
 
     def numeric(i: int) -> bool:
@@ -106,7 +111,7 @@ def sort_lines(text: str) -> list[Line]:
         if x.kind == "blank":
             continue
         t = x.text
-        if numeric(i) and (numeric(i - 1) or numeric(i + 1) or regex.search(r"\S\s{2,}\S", t)):
+        if numeric(i) and (numeric(i - 1) or numeric(i + 1) or _GAP.search(t)):
             x.kind = "table"
         elif _PAGE.match(t) and (any(c.isdigit() for c in t) or _ROMAN.match(t) or not t.isalpha()):
             x.kind = "number"
@@ -117,11 +122,11 @@ def sort_lines(text: str) -> list[Line]:
             caps = sum(w[:1].isupper() for w in words) >= 0.6 * len(words)
             near = any(not (0 <= j < n) or lines[j].kind == "blank" or lines[j].ff or x.ff for j in (i - 1, i + 1))
             early_end = len(t) + 1 + len(following[i]) < width
-            again = seen[fold(t)] > 1 and early_end
-            marked = bool(_NOTICE.search(t)) or again or bool(regex.search(r"^\d+\s{2,}|\s{2,}\d+$", t))
+            again = seen[x.fold] > 1 and early_end
+            marked = bool(_NOTICE.search(t)) or again or bool(_NUMBERED.search(t))
             if early or len(t) <= width - 2 and (caps and len(words) > 1 or marked) or near and len(t) <= width - 10 and early_end:
                 x.kind = "short"
-        elif _NOTICE.search(t) and len(t) <= width - 10 and regex.match(r"^(?:©|\(c\))", t, regex.I):
+        elif _NOTICE.search(t) and len(t) <= width - 10 and _COPYRIGHT.match(t):
             x.kind = "short"
     return lines
 
@@ -142,7 +147,7 @@ def _records(src: str, uid: str, text: str, common: frozenset[str]) -> list[tupl
             after[x.no] = nxt
         if x.kind == "body":
             nxt = x
-    counts = Counter(fold(x.text) for x in lines if x.kind == "short")
+    counts = Counter(x.fold for x in lines if x.kind == "short")
     opened: dict[int, str] = {}
     for i, x in enumerate(lines):
         follow = after.get(x.no)
@@ -152,8 +157,8 @@ def _records(src: str, uid: str, text: str, common: frozenset[str]) -> list[tupl
             cut = bool(before and follow and (not _TERMINAL.search(before.text) and not before.text.endswith("?") or follow.text[:1].islower()))
             beside = any(0 <= j < len(lines) and (lines[j].kind == "number" or lines[j].ff) for j in (i - 1, i + 1)) or x.ff
             plain = bool(_RUNNING.search(x.text))
-            edge = plain or x.no < first or x.no > last or beside or counts[fold(x.text)] > 1
-            out.append((src, uid, x.no, "short", fold(x.text), x.text[:200], "", cut, edge))
+            edge = plain or x.no < first or x.no > last or beside or counts[x.fold] > 1
+            out.append((src, uid, x.no, "short", x.fold, "", "", cut, edge))
         elif x.kind == "body":
             end = x.text[-1]
             if end in HYPHENS and follow and len(x.text) > 1:
@@ -172,12 +177,7 @@ def _records(src: str, uid: str, text: str, common: frozenset[str]) -> list[tupl
                 words = words[1:]
             for w in words:
                 t = w.strip(_TOKEN_EDGE).lower()
-                if not t or t in common or t.isdigit():
-                    continue
-                core = w.strip(_TOKEN_EDGE)
-                if _SIGN_INSIDE.search(core) or _NUMBER_LIKE.match(core) and any(c.isdigit() for c in core) and any(c.isalpha() for c in core):
-                    out.append((src, uid, x.no, "signs", t, x.kind, "", False, False))
-                elif any(c.isalpha() for c in t):
+                if t and t not in common and any(map(str.isalpha, t)):
                     out.append((src, uid, x.no, "word", t, x.kind, "", False, False))
     return out
 
@@ -212,7 +212,7 @@ def vocabulary(texts: DataFrame) -> DataFrame:
                     if not words:
                         continue
                     broken = words[-1][-1] in HYPHENS
-                    found.update(t for w in words[1 if skip else 0 : len(words) - broken] if (t := w.strip(_TOKEN_EDGE).lower()) and len(t) <= 40 and any(map(str.isalpha, t)))
+                    found.update(t for w in words[1 if skip else 0 : len(words) - broken] if (t := w.strip(_TOKEN_EDGE).lower()) and any(map(str.isalpha, t)))
                     skip = broken
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"]
@@ -228,7 +228,9 @@ def corrections(words: DataFrame) -> DataFrame:
     rare = hashed.join(table, F.expr("instr(word, wrong) > 0")).select(
         F.col("word").alias("bad"), F.col("n").alias("n_bad"), "wrong", "correct", (F.col("h") - F.col("delta")).alias("h")
     )
-    frequent = hashed.where(F.col("n") >= LEAST).select(F.col("word").alias("good"), F.col("n").alias("n_good"), "h")
+    usual = (F.col("n_good") >= LEAST) & (F.col("n_good") >= RATIO * F.col("n_bad"))
+    signed = F.col("bad").rlike(SIGNED) & ~F.col("good").rlike(SIGNED) & (F.col("n_good") >= SIGN_RATIO * F.col("n_bad"))
+    frequent = hashed.where(F.col("n") >= SIGN_LEAST).select(F.col("word").alias("good"), F.col("n").alias("n_good"), "h")
     # Same hash means same letters but for the confusion; the place has to be right as well.
     places = F.filter(F.sequence(F.lit(1), F.length("bad")), lambda i: F.col("bad").substr(i, F.length("wrong")) == F.col("wrong"))
     mended = F.transform(
@@ -238,7 +240,7 @@ def corrections(words: DataFrame) -> DataFrame:
     best = Window.partitionBy("bad").orderBy(F.desc("n_good"), "good")
     return (
         rare.join(frequent, "h")
-        .where((F.col("n_good") >= RATIO * F.col("n_bad")) & F.array_contains(mended, F.col("good")))
+        .where((usual | signed) & F.array_contains(mended, F.col("good")))
         .withColumn("rank", F.row_number().over(best))
         .where("rank = 1")
         .select(F.col("bad").alias("wrong"), F.col("good").alias("right"))
@@ -292,7 +294,7 @@ def scan_noise(tables: dict[str, DataFrame], min_docs: int = 4, share: float = 0
 
     short = rec.where("record = 'short'")
     wording = short.groupBy("key").agg(
-        F.approx_count_distinct("uid").alias("docs"), F.avg(F.col("interrupts").cast("int")).alias("cuts"), F.avg(F.col("edge").cast("int")).alias("edges")
+        F.count_distinct("uid").alias("docs"), F.avg(F.col("interrupts").cast("int")).alias("cuts"), F.avg(F.col("edge").cast("int")).alias("edges")
     )
     judged = short.join(wording, "key")
     known = F.col("docs") >= min_docs
@@ -306,10 +308,7 @@ def scan_noise(tables: dict[str, DataFrame], min_docs: int = 4, share: float = 0
     breaks = breaks.join(count.withColumnRenamed("word", "first").withColumnRenamed("n", "n_compound"), "first", "left")
     breaks = breaks.where(F.coalesce("n_joined", F.lit(0)) >= F.coalesce("n_compound", F.lit(0)))
 
-    misread = (
-        rec.where("record in ('word', 'signs')").join(fixes.select(F.col("wrong").alias("key")), "key", "left_semi")
-        .unionByName(rec.where("record = 'signs'").join(words.where(F.col("n") >= LEAST).select(F.col("word").alias("key")), "key", "left_anti"))
-    )
+    misread = rec.where("record = 'word'").join(fixes.select(F.col("wrong").alias("key")), "key", "left_semi")
     running = misread.where("first = 'body'").select(*at).unionByName(
         misread.where("first = 'short'").select(*at).join(headings.select(*at), at, "left_semi")
     )
