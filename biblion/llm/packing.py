@@ -25,6 +25,10 @@ from biblion.llm.tokens import with_token_counts
 from biblion.session import checkpoint
 
 
+#: Runs a plan may have; it has a few for each size, and sizes are bounded by the capacity.
+MOST_RUNS = 4_000_000
+
+
 @dataclass
 class Placement:
     """``n`` documents of one size, from rank ``first``, ``per`` to a container from ``container`` on."""
@@ -107,13 +111,15 @@ def pack_documents(docs: DataFrame, capacities: DataFrame, tokenizer: str | None
     ``container_offset``. Only a document larger than the capacity is cut, into full
     containers and a rest. NULL and empty texts have no tokens and take no place;
     repeated ids are separate documents and each is placed. Kinds with a NULL or
-    non-positive capacity are left out, and capacities stay below ``max_capacity``,
-    which bounds the plan that is broadcast.
+    non-positive capacity are left out. A capacity above ``max_capacity`` is an error,
+    and so is a plan of more than ``MOST_RUNS`` runs: these bound what is broadcast.
     """
     sizes = checkpoint(with_token_counts(docs, ["doc_id"], tokenizer=tokenizer).where("n_tokens > 0"))
-    kinds = capacities.where((F.col("capacity_tokens") > 0) & (F.col("capacity_tokens") <= max_capacity))
+    kinds = capacities.where(F.col("capacity_tokens") > 0)
     kinds = kinds.groupBy("container_kind").agg(F.max("capacity_tokens").cast("long").alias("capacity"))
     caps = {r.container_kind: r.capacity for r in kinds.collect()}  # a fixed table of a few kinds
+    if any(c > max_capacity for c in caps.values()):
+        raise ValueError(f"a container of more than {max_capacity} tokens: raise max_capacity")
 
     # Histogram over sizes; whole containers of oversized documents need no search.
     per_kind = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(c).alias("cap")) for k, c in sorted(caps.items())])
@@ -135,6 +141,8 @@ def pack_documents(docs: DataFrame, capacities: DataFrame, tokenizer: str | None
     for r in pieces.groupBy("kind", "size").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():  # at most capacity rows a kind
         histogram[r.kind][r["size"]] = r.n
     plans = {k: best_fit_runs(histogram[k], c) for k, c in caps.items()}
+    if sum(map(len, plans.values())) > MOST_RUNS:
+        raise ValueError(f"a plan of more than {MOST_RUNS} runs")
     table = {
         k: tuple(np.array([getattr(p, f) for p in sorted(v, key=lambda p: (p.size, p.first))], np.int64) for f in ("size", "first", "per", "container", "filled"))
         for k, v in plans.items()
