@@ -366,3 +366,33 @@ def first_way(ways: dict[str, Column]) -> Column:
     for name, c in ways.items():
         out = out.when(c.isNotNull(), name)
     return out.otherwise("none")
+
+
+def or_default(terms: str, default: list[str]) -> Column:
+    return F.when(F.size(terms) > 0, F.col(terms)).otherwise(F.array(*map(F.lit, default)))
+
+
+def is_article_xml(c: Column) -> Column:
+    return F.coalesce(c.contains("<article") | c.contains("<body"), F.lit(False))
+
+
+def is_pdf(c: Column) -> Column:
+    """Whether bytes or text begin as a PDF does and have ten bytes at least."""
+    return F.coalesce(c.startswith("%PDF") & (F.octet_length(c) >= 10), F.lit(False))
+
+
+def absolute_url(page: Column, link: Column) -> Column:
+    """A link of a page made whole: given in full, without scheme, from the host's root or beside the page."""
+    scheme, host = F.regexp_extract(page, r"^(https?:)", 1), F.regexp_extract(page, r"^(https?://[^/]+)", 1)
+    beside = F.regexp_replace(F.regexp_replace(page, r"[?#].*$", ""), r"[^/]*$", "")
+    return F.when(link.rlike(r"^https?://"), link).when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(host, link)).otherwise(F.concat(beside, link))
+
+
+def first_string(json: Column, field: str) -> Column:
+    """A JSON field's text, or the first one of its list, cleaned; NULL if nothing is left."""
+    return present(clean_text(F.coalesce(F.get_json_object(json, f"$.{field}[0]"), F.get_json_object(json, f"$.{field}"))))
+
+
+def retry_delay(attempt: Column, retry_after: Column) -> Column:
+    """Milliseconds before another attempt: what the service asked for in seconds, else 1, 2, 4 or 8 seconds."""
+    return F.coalesce(retry_after.try_cast("int") * 1000, (F.lit(1000) * F.pow(F.lit(2), F.least(attempt, F.lit(3)))).cast("int"))

@@ -201,3 +201,21 @@ def next_versions(history: DataFrame, edits: DataFrame, key: str = "prompt_name"
     top = history.groupBy(key).agg(F.max("version").alias("top"))
     w = Window.partitionBy(key).orderBy("seq")
     return edits.join(top, key, "left").withColumn("version", F.coalesce("top", F.lit(0)) + F.row_number().over(w)).drop("top")
+
+
+def date_window(as_of: Column, days: Column) -> Column:
+    """The days up to ``as_of``, one at least."""
+    return F.struct(F.date_sub(as_of, F.greatest(days, F.lit(1)).cast("int")).alias("start"), as_of.alias("end"))
+
+
+def equal_to(df: DataFrame, asked: dict[str, object]) -> DataFrame:
+    """Rows that equal all values asked; None asks nothing."""
+    for name, value in asked.items():
+        if value is not None:
+            df = df.where(F.col(name) == F.lit(value))
+    return df
+
+
+def profile_filter(candidates: DataFrame, terms: list[str]) -> DataFrame:
+    """The default scope, unless the workspace has terms of its own."""
+    return candidates if terms else candidates.where(in_scope(F.col("title"), F.col("summary")))

@@ -214,3 +214,8 @@ def chunk_articles(texts: DataFrame, size: int = 512, shared: int = 64, most: in
     )
     w = Window.partitionBy("uid").orderBy("section_no", "at")
     return cut.withColumn("chunk_index", F.row_number().over(w) - 1).where(F.col("chunk_index") < most).withColumn("chunk_type", chunk_type(F.col("source_section"))).drop("at")
+
+
+def toggled(column: str, descending: bool) -> list[Column]:
+    """The order of a page by one of its columns; blanks come last either way."""
+    return [F.desc_nulls_last(column) if descending else F.asc_nulls_last(column)]

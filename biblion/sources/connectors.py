@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblion.functions.text import clean_text, date_parts, feed_date, feed_field, inverted_abstract, normalize_doi, partial_date, preprint_id, present
@@ -165,3 +165,37 @@ def merged_lists(lists: list[DataFrame]) -> DataFrame:
         numbered = df.withColumn("seq", F.lit(i))
         out = numbered if out is None else out.unionByName(numbered)
     return merge_candidates(out)
+
+
+def source_list(lists: list[DataFrame], window: tuple[Column, Column] | None = None) -> DataFrame:
+    """The lists of a source's queries as one; where its server filters no dates, records outside the window are dropped here."""
+    from biblion.operators.ingest import in_window
+
+    out = merged_lists(lists)
+    return out.where(in_window(F.trim("pub_date"), *window)) if window else out
+
+
+def first_of_key(records: DataFrame, seq: str) -> DataFrame:
+    """Of the records of one DOI, else of one title, the first; records with neither stay."""
+    key = F.coalesce(present(normalize_doi(F.col("doi"))), F.concat(F.lit("t:"), F.lower(F.trim("title"))), F.concat(F.lit("u:"), "uid"))
+    rest = [c for c in records.columns if c != seq]
+    return records.groupBy(key.alias("__k")).agg(F.min_by(F.struct(seq, *rest), seq).alias("v")).select("v.*")
+
+
+def rxiv_categories(server: Column, terms: Column) -> Column:
+    """Categories of a preprint server that are listed for words about diabetes; none for others."""
+    # The two categories.
+    both = F.array(F.lit("endocrinology"), F.lit("health_informatics"))
+    return F.when((server == "medrxiv") & F.lower(terms).rlike("diabet|glyc|glucose"), both).otherwise(F.array().cast("array<string>"))
+
+
+def page_cursors(total: Column, size: int, most: int) -> Column:
+    """Where the pages of a listing start."""
+    return F.slice(F.sequence(F.lit(0), F.greatest(total - 1, F.lit(0)), F.lit(size)), 1, most)
+
+
+def spaced(requests: DataFrame, host: str, at: str, seq: str, seconds: int) -> DataFrame:
+    """Requests with the time ``at`` they may go out: ``seconds`` after the one before it to the same host at the earliest."""
+    w = Window.partitionBy(host).orderBy(at, seq)
+    before = F.coalesce(F.floor(F.unix_timestamp(F.lag(at).over(w))), F.lit(0))
+    return requests.withColumn("__before", before).withColumn("at", F.timestamp_seconds(F.greatest(F.unix_timestamp(at), F.col("__before") + seconds))).drop("__before")

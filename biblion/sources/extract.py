@@ -8,7 +8,8 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 _SKIP = {"script", "style", "nav", "header", "footer", "aside", "noscript", "template", "head"}
 _BLOCK = {"p", "div", "li", "tr", "br", "section", "article", "table", "ul", "ol", "h4", "h5", "h6", "blockquote", "pre"}
@@ -148,3 +149,21 @@ def order_fragments(pages: DataFrame) -> DataFrame:
         return pd.DataFrame({"page": [int(pdf["page"].iloc[0])], "text": [text]})
 
     return pages.groupBy("page").applyInPandas(order, "page long, text string")
+
+
+def glyph_fragments(glyphs: DataFrame, by: str) -> DataFrame:
+    """Fragments (``by``, ``no``, ``x``, ``x_end``, ``y``, ``text``) of glyphs (x, width, y, size, ch) in their order.
+
+    A glyph goes on with the fragment before it if it stands on its line (half its size
+    up or down) and near it (from half a size before its end to two sizes after); a gap
+    of more than a tenth of the size is a blank.
+    """
+    w = Window.partitionBy(by).orderBy(F.desc("y"), "x")
+    end, line = F.lag(F.col("x") + F.col("width")).over(w), F.lag("y").over(w)
+    gap = F.col("x") - F.col("__end")
+    near = (F.abs(F.col("y") - F.col("__line")) <= 0.5 * F.col("size")) & gap.between(-0.5 * F.col("size"), 2 * F.col("size"))
+    marked = glyphs.withColumn("__end", end).withColumn("__line", line).withColumn("__near", F.coalesce(near, F.lit(False)))
+    numbered = marked.withColumn("no", F.sum((~F.col("__near")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    piece = F.concat(F.when(F.col("__near") & (gap > 0.1 * F.col("size")), " ").otherwise(""), F.col("ch"))
+    rows = F.array_sort(F.collect_list(F.struct("x", piece.alias("p"))))  # the glyphs of one fragment
+    return numbered.groupBy(by, "no").agg(F.min("x").alias("x"), F.max(F.col("x") + F.col("width")).alias("x_end"), F.first("y").alias("y"), F.array_join(F.transform(rows, lambda r: r["p"]), "").alias("text"))
