@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from biblion.llm import matching, mixing, names, packing, pairs, residue, scans, splitting
@@ -74,7 +74,38 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p3_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per table: items, their characters without overlaps, and pieces above the limit (none)."""
+    limits = table(spark, sf_dir, "split_limits").select("item_table", "max_chars")
+    pieces = p3_pieces(spark, sf_dir).join(F.broadcast(limits), "item_table")
+    before = F.lag("end").over(Window.partitionBy("item_table", "item_key").orderBy("piece_no"))
+    own = pieces.withColumn("own", F.col("end") - F.coalesce(before, F.lit(0)))
+    per_item = own.groupBy("item_table", "item_key").agg(F.sum("own").alias("n"), F.sum((F.length("content") > F.col("max_chars")).cast("long")).alias("over"))
+    return per_item.groupBy("item_table").agg(F.count(F.lit(1)).alias("n_items"), F.sum("n").alias("n_chars"), F.sum("over").alias("n_over"))
+
+
+def p8_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind: documents placed, containers above their capacity (none), documents cut that would have fitted (none)."""
+    caps = F.broadcast(table(spark, sf_dir, "pack_capacity").groupBy("container_kind").agg(F.max("capacity_tokens").alias("cap")))
+    placed = p8_pack(spark, sf_dir).join(caps, "container_kind")
+    docs = placed.groupBy("container_kind", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"), F.max("cap").alias("cap"))
+    full = placed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("n"), F.max("cap").alias("cap"))
+    a = docs.groupBy("container_kind").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(((F.col("pieces") > 1) & (F.col("n") <= F.col("cap"))).cast("long")).alias("n_cut"))
+    return a.join(full.groupBy("container_kind").agg(F.sum((F.col("n") > F.col("cap")).cast("long")).alias("n_over")), "container_kind")
+
+
+def p9_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: its target, and whether a document was taken more often than it may be (never)."""
+    mixed, _ = mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    most = mixed.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("source").agg(F.max("n").alias("most"))
+    targets = table(spark, sf_dir, "mix_targets").select("source", "target_share", "max_repeats")
+    return targets.join(most, "source", "left").select("source", F.round("target_share", 6).alias("target_share"), (F.coalesce("most", F.lit(0)) > F.col("max_repeats")).alias("too_often"))
+
+
 QUERIES = {
+    "p3_totals": p3_totals,
+    "p8_totals": p8_totals,
+    "p9_totals": p9_totals,
     "p1_found": p1_found,
     "p1_repair": p1_repair,
     "p2_found": p2_found,
@@ -90,4 +121,8 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_clean": p10_clean,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p3_totals": "SELECT item_table, count(*) AS n_items, sum(n)::BIGINT AS n_chars, 0::BIGINT AS n_over FROM (SELECT 'article_chunks' AS item_table, length(max(content)) AS n FROM article_chunks WHERE content IS NOT NULL AND id IS NOT NULL GROUP BY id UNION ALL SELECT 'article_input', length(max(full_text)) FROM article_input WHERE full_text IS NOT NULL AND uid IS NOT NULL GROUP BY uid) GROUP BY 1",
+    "p8_totals": "SELECT container_kind, (SELECT count(*) FROM documents WHERE length(text) > 0) AS n_docs, 0::BIGINT AS n_cut, 0::BIGINT AS n_over FROM pack_capacity",
+    "p9_totals": "SELECT source, round(target_share, 6) AS target_share, false AS too_often FROM mix_targets",
+}
