@@ -1,4 +1,4 @@
-"""Token counts and token spans by a public tokenizer; its file is a parameter."""
+"""Token counts and token spans by a public tokenizer; its file is a parameter and travels to the executors."""
 
 from __future__ import annotations
 
@@ -21,7 +21,9 @@ def encoder(path: str):
     if path not in _loaded:
         import tiktoken
 
-        with open(path, "rb") as f:
+        from pyspark import SparkFiles
+
+        with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         try:
             from public_tokenizers import PATTERN as pattern
@@ -52,6 +54,7 @@ def token_count(text: str | None, path: str, block: int = 100_000) -> int:
 def with_token_counts(df: DataFrame, keep: list[str], text: str = "text", output: str = "n_tokens", tokenizer: str | None = None) -> DataFrame:
     """Columns ``keep`` and the number of tokens of ``text`` (0 for NULL and empty)."""
     path = tokenizer or os.path.join(TOKENIZER_DIR, VOCABULARY)
+    df.sparkSession.sparkContext.addFile(path)  # for executors whose machine lacks it
     slim = df.select(*keep, df[text].alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]]
 
