@@ -396,3 +396,8 @@ def first_string(json: Column, field: str) -> Column:
 def retry_delay(attempt: Column, retry_after: Column) -> Column:
     """Milliseconds before another attempt: what the service asked for in seconds, else 1, 2, 4 or 8 seconds."""
     return F.coalesce(retry_after.try_cast("int") * 1000, (F.lit(1000) * F.pow(F.lit(2), F.least(attempt, F.lit(3)))).cast("int"))
+
+
+def feed_summary(c: Column) -> Column:
+    """The abstract of a feed's description, else the whole of it, unless it has labels of other fields."""
+    return F.coalesce(feed_field(c, "abstract"), F.when(~c.rlike("(?i)authors:|subjects:"), present(c)))

@@ -83,3 +83,18 @@ def context(sources: DataFrame, by: str, order: str, text: str, most: int = 5) -
     head = top_per(sources.where(present(F.col(text)).isNotNull()), [by], [F.asc(order)], most)
     rows = F.array_sort(F.collect_list(F.struct("rank", F.col(text).alias("t"))))  # at most ``most``
     return head.groupBy(by).agg(F.array_join(F.transform(rows, lambda r: r["t"]), "\n\n").alias("context"))
+
+
+def gap_text(issues: DataFrame, by: str, order: str) -> DataFrame:
+    """Issues (issue, confidence) of each gap as lines, the confidence in two places."""
+    line = F.concat(F.lit("- "), F.col("issue"), F.format_string(" (confidence %.2f)", F.col("confidence")))
+    rows = F.array_sort(F.collect_list(F.struct(order, line.alias("line"))))  # the findings of one gap
+    return issues.groupBy(by).agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("issues"))
+
+
+def response_format(schema: dict | None, compatible: bool, name: str = "answer") -> str:
+    """How a service is asked for JSON: by a schema, or as any object where there is none or it knows no schemas."""
+    import json
+
+    asked = {"type": "json_object"} if compatible or not schema else {"type": "json_schema", "json_schema": {"name": name, "schema": schema}}
+    return json.dumps(asked, separators=(",", ":"))

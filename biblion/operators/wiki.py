@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblion.functions.text import markdown_label, present, wiki_slug
@@ -49,6 +49,16 @@ def source_pages(articles: DataFrame) -> DataFrame:
     )
 
 
+def daily_pages(articles: DataFrame, most: int = 200) -> DataFrame:
+    """``path`` and ``body`` of a page for each day of registration: its articles by title, ``most`` at most."""
+    order = Window.partitionBy("reg_date").orderBy(F.asc_nulls_last("title"), "uid")
+    top = articles.where("reg_date is not null").withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= most)
+    line = F.concat(F.lit("- ["), markdown_label(F.coalesce(present(F.col("title")), F.col("uid"))), F.lit("](../sources/"), source_filename(F.col("uid")), F.lit(")"))
+    rows = F.array_sort(F.collect_list(F.struct("__r", line.alias("line"))))  # at most ``most``
+    body = F.concat(F.lit("# "), F.col("reg_date"), F.lit("\n\n"), F.array_join(F.transform(rows, lambda r: r["line"]), "\n"), F.lit("\n"))
+    return top.groupBy("reg_date").agg(body.alias("body")).select(F.concat(F.lit("daily/"), "reg_date", F.lit(".md")).alias("path"), "body")
+
+
 def index_page(pages: DataFrame, title: str = "Index", most: int = 500) -> DataFrame:
     """One page that lists at most ``most`` entities (id, canonical_name, n_sources, stale), by sources and name."""
     top = pages.orderBy(F.desc("n_sources"), "canonical_name", "id").limit(most)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["records", "catalog", "library", "graph", "ingest", "text", "stream", "wiki", "more", "search", "kgraph", "updates", "jobq", "intake", "scalars"]
+_MODULES = ["records", "catalog", "library", "graph", "ingest", "text", "stream", "wiki", "more", "search", "kgraph", "updates", "jobq", "intake", "scalars", "rest"]
 
 
 def collect() -> tuple[dict, dict]:
