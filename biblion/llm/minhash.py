@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,18 @@ def shingles(text: str, width: int = SHINGLE) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(x) for x in runs), np.uint64, len(runs))
 
 
-def band_keys(text: str) -> list[int]:
-    h = shingles(text)
-    mixed = (h[:, None] * _SEEDS[0] + _SEEDS[1]) ^ ((h[:, None] * _SEEDS[1]) >> np.uint64(29))
-    low = mixed.min(axis=0).reshape(BANDS, ROWS)
-    return [xxhash.xxh64_intdigest(band.tobytes(), seed=i) - 2**63 for i, band in enumerate(low)]
+def band_keys(texts: list[str], at_once: int = 200) -> list[list[int]]:
+    """The keys of the bands of each text; the minima of ``at_once`` texts are taken together."""
+    out = []
+    for i in range(0, len(texts), at_once):
+        sets = [shingles(t) for t in texts[i : i + at_once]]
+        h = np.concatenate(sets)[:, None]
+        mixed = (h * _SEEDS[0] + _SEEDS[1]) ^ ((h * _SEEDS[1]) >> np.uint64(29))
+        starts = np.cumsum([0, *(len(x) for x in sets[:-1])])
+        rows, width = np.minimum.reduceat(mixed, starts, axis=0), 8 * ROWS
+        for row in (x.tobytes() for x in rows):
+            out.append([xxhash.xxh64_intdigest(row[k * width : (k + 1) * width], seed=k) - 2**63 for k in range(BANDS)])
+    return out
 
 
 def jaccard(a: str, b: str) -> float:
@@ -50,16 +58,25 @@ def classes(texts: DataFrame, leaders: int = 64) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column(0).to_pylist()
-            found = [(t, k) for t in names for k in set(band_keys(t))]
+            found = [(t, k) for t, keys_ in zip(names, band_keys(names), strict=True) for k in keys_]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([t for t, _ in found], pa.string()), pa.array([k for _, k in found], pa.int64())], names=["text", "band"]
             )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(10_000)(lambda text: frozenset(shingles(text).tolist()))
+
+        def similar(x: frozenset, y: frozenset) -> bool:
+            if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+                return False  # what both share is at most the smaller one
+            shared = len(x & y)
+            return shared / (len(x) + len(y) - shared) >= SIMILARITY
+
         for batch in batches:
             leads = []
             for text, heads in zip(batch.column("text").to_pylist(), batch.column("heads").to_pylist(), strict=True):
-                leads.append(next((x for x in sorted(heads) if x == text or jaccard(x, text) >= SIMILARITY), None))
+                mine = known(text)
+                leads.append(next((x for x in sorted(heads) if x == text or similar(known(x), mine)), None))
             yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("band"), pa.array(leads, pa.string())], names=["text", "band", "lead"])
 
     banded = texts.mapInArrow(keys, "text string, band long")

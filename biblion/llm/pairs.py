@@ -226,13 +226,12 @@ def defective_pairs(traces: DataFrame, labelled: DataFrame, min_prompts: int = 3
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("prompts"), (F.sum("s") / F.sum("n")).alias("sentences"), (F.sum("cut") / F.sum("n")).alias("cut")
     ).withColumn("told", told)
     said = checkpoint(stats)
-    # What was said once and tells no inability makes no template, but belongs to its family.
-    stats = said.where("told or n > 1")
-    rep = checkpoint(minhash.classes(stats.select("text")))
+    # What was said once counts as well: its prompt is one of its class's, and it can tie others.
+    rep = checkpoint(minhash.classes(said.select("text")))
     head = F.array_join(F.slice(F.split("text", " "), 1, 4), " ")
     family = said.groupBy(head.alias("head")).agg(F.max("n").alias("most"), F.sum("n").alias("records"))
     unslotted = family.where(F.col("most") >= F.lit(one_wording) * F.col("records")).select("head")
-    classed = rep.join(stats, "text").withColumn("head", head)
+    classed = rep.join(said, "text").withColumn("head", head)
     # Prompts of a class: each counts once, whatever the wording it got.
     of_class = opened.join(rep, "text").select("rep", "asked").distinct().groupBy("rep").agg(F.count(F.lit(1)).alias("of_class"))
     templates = checkpoint(classed.join(unslotted, "head", "left_semi").join(of_class.where(F.col("of_class") >= min_prompts).select("rep"), "rep", "left_semi").select("text", "told", "sentences", "prompts", "cut"))

@@ -48,6 +48,16 @@ def test_whole_answers_to_unlike_questions_decline(spark):
     assert got == set(range(5))
 
 
+def test_openings_said_once_count_in_their_class(spark):
+    """A refusal said once is a template through the near wordings that other prompts got once."""
+    rest = "the ward nurses and the clinic managers of this hospital leave that question open for all of us today again."
+    rows = [(i, f"What about {w} in the ward?", f"{first} {rest}", None) for i, (w, first) in enumerate(zip(["apples", "pears", "plums"], ["Sorry", "Well", "Here"], strict=True))]
+    traces = spark.createDataFrame(rows, "id long, input_text string, output_text string, error_message string")
+    docs = spark.createDataFrame([(1, EN, "en"), (2, DE, "de")], "doc_id long, text string, lang string")
+    assert {r.trace_id for r in defective_pairs(traces, docs).where("defect_type = 'refusal'").collect()} == {0}
+    assert not {r.trace_id for r in defective_pairs(traces.where("id < 2"), docs).where("defect_type = 'refusal'").collect()}
+
+
 def test_classes_against_brute_force(spark):
     base = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
     texts = [" ".join([*base, "one"]), " ".join([*base, "two"]), " ".join(reversed(base)), "short text", "other"]
