@@ -132,6 +132,19 @@ def test_pairs_left_out_before_python_are_none_that_compare_keeps(spark):
     assert want <= got and len(got) < 0.7 * len(made) ** 2
 
 
+def test_a_walk_starts_at_every_record(spark):
+    from pyspark.sql import functions as F
+
+    from biblion.llm.matching import node_bucket, walks
+
+    n = 60_000
+    records = spark.range(n).select(F.col("id").alias("sig"), F.array(F.concat(F.lit("w"), F.col("id")), F.concat(F.lit("v"), (F.col("id") / 2).cast("long"))).alias("tokens"))
+    got = walks(records)
+    assert got.count() == n
+    three = {tuple(sorted(r.words)) for r in walks(records.where("sig < 1")).collect()}
+    assert three == {tuple(sorted(str(node_bucket(t)) for t in ("w0", "v0")))}
+
+
 def test_generic_titles_at_any_size():
     """An ordinary title's share stays when the table grows; early postings of generic titles match."""
     for times in (1, 10, 100):
