@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 
 import regex
 from pyspark.sql import DataFrame, Window
@@ -11,26 +12,56 @@ from pyspark.sql import functions as F
 
 #: Labelled documents per language, and characters of each, that the classifier is fitted on.
 TRAIN_DOCS, TRAIN_CHARS = 400, 600
-_LETTERS = regex.compile(r"[^\p{L}']+")
+
+
+class CharTable(dict):
+    """A table for ``str.translate``: signs the pattern doesn't match become blanks; a sign is looked up once."""
+
+    def __init__(self, kept: str):
+        super().__init__()
+        self.kept = regex.compile(kept)
+
+    def __missing__(self, code: int) -> str:
+        sign = chr(code)
+        self[code] = sign if self.kept.match(sign) else " "
+        return self[code]
+
+    def __reduce__(self):
+        return CharTable, (self.kept.pattern,)
+
+
+_LETTERS = CharTable(r"[\p{L}']")
 
 
 def grams(text: str) -> list[str]:
     """Words' n-grams of one to four letters with word edges."""
     out: list[str] = []
-    for word in _LETTERS.split(text.lower()):
-        if word:
-            edged = f"^{word}$"
-            out += [edged[i : i + n] for n in (2, 3, 4) for i in range(len(edged) - n + 1)]
-            out.append(edged)
+    for word in text.lower().translate(_LETTERS).split():
+        edged = f"^{word}$"
+        out += [edged[i : i + n] for n in (2, 3, 4) for i in range(len(edged) - n + 1)]
+        out.append(edged)
     return out
 
 
+class WordScores(dict):
+    """Scores of the words met, each worked out once: a word's sums by language, then its number of known grams."""
+
+    def __init__(self, score: Callable[[str], tuple[tuple[float, ...], int]]):
+        super().__init__()
+        self.score = score
+
+    def __missing__(self, word: str) -> tuple[float, ...]:
+        sums, n = self.score(word)
+        self[word] = (*sums, n)
+        return self[word]
+
+
 class LanguageModel:
     def __init__(self, samples: dict[str, list[str]], floor: int = 2):
         counts = {lang: Counter(g for t in texts for g in grams(t)) for lang, texts in samples.items()}
         vocabulary = {g for c in counts.values() for g, n in c.items() if n >= floor}
         self.langs = sorted(counts)
-        self.known: dict[str, tuple[tuple[float, ...], int]] = {}
+        self.known = WordScores(self.word_score)
         self.weights: dict[str, tuple[float, ...]] = {}
         totals = {lang: sum(c.values()) + len(vocabulary) for lang, c in counts.items()}
         for g in vocabulary:
@@ -59,16 +90,11 @@ class LanguageModel:
         """Sums over all words; a word's score is worked out once and kept for the words to come."""
         if len(self.known) > 200_000:
             self.known.clear()
-        total, n = [0.0] * len(self.langs), 0
-        for word, times in Counter(_LETTERS.split(text.lower())).items():
-            if not word:
-                continue
-            got = self.known.get(word)
-            if got is None:
-                got = self.known[word] = self.word_score(word)
-            n += got[1] * times
-            total = [a + b * times for a, b in zip(total, got[0], strict=True)]
-        return total, n
+        words = text.lower().translate(_LETTERS).split()
+        if not words:
+            return [0.0] * len(self.langs), 0
+        *sums, n = map(sum, zip(*map(self.known.__getitem__, words), strict=True))
+        return sums, n
 
     def guess(self, text: str, least: int = 12, margin: float = 8.0) -> str | None:
         """The language, or None if too little speaks for it."""

@@ -26,6 +26,12 @@ def shingles(text: str, width: int = SHINGLE) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(x) for x in runs), np.uint64, len(runs))
 
 
+def runs(text: str, width: int = SHINGLE) -> frozenset[tuple[str, ...]]:
+    """The runs of ``width`` words themselves, as ``shingles`` has their hashes."""
+    words = text.split()
+    return frozenset(zip(*(words[i:] for i in range(width)))) if len(words) >= width else frozenset([tuple(words)])
+
+
 def band_keys(texts: list[str], at_once: int = 200) -> list[list[int]]:
     """The keys of the bands of each text; the minima of ``at_once`` texts are taken together."""
     out = []
@@ -64,7 +70,7 @@ def classes(texts: DataFrame, leaders: int = 64) -> DataFrame:
             )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lru_cache(10_000)(lambda text: frozenset(shingles(text).tolist()))
+        known = lru_cache(10_000)(runs)
 
         def similar(x: frozenset, y: frozenset) -> bool:
             if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
@@ -76,7 +82,7 @@ def classes(texts: DataFrame, leaders: int = 64) -> DataFrame:
             leads = []
             for text, heads in zip(batch.column("text").to_pylist(), batch.column("heads").to_pylist(), strict=True):
                 mine = known(text)
-                leads.append(next((x for x in sorted(heads) if x == text or similar(known(x), mine)), None))
+                leads.append(next((x for x in heads if x == text or similar(known(x), mine)), None))
             yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("band"), pa.array(leads, pa.string())], names=["text", "band", "lead"])
 
     banded = texts.mapInArrow(keys, "text string, band long")
@@ -85,7 +91,7 @@ def classes(texts: DataFrame, leaders: int = 64) -> DataFrame:
     links: DataFrame | None = None
     while not open_rows.isEmpty():
         least = open_rows.groupBy("band", F.pmod(F.xxhash64("text"), F.lit(leaders)).alias("salt")).agg(F.min("text").alias("head"))
-        heads = least.groupBy("band").agg(F.collect_list("head").alias("heads"))  # at most ``leaders`` a band
+        heads = least.groupBy("band").agg(F.sort_array(F.collect_list("head")).alias("heads"))  # at most ``leaders`` a band
         checked = checkpoint(open_rows.join(heads, "band").select("text", "band", "heads").mapInArrow(verify, "text string, band long, lead string"))
         found = checked.where("lead is not null and text <> lead").select("text", "lead").distinct()
         links = found if links is None else links.unionByName(found)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 import regex
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biblion.llm import minhash
-from biblion.llm.lang import LanguageModel, train
+from biblion.llm.lang import CharTable, LanguageModel, train
 from biblion.session import checkpoint
 
 # Wording of inability in the first person or without person, by language.
@@ -58,41 +59,52 @@ WHOLE, LEAST_WORDS = 1.1, 3
 _NAMES = "|".join(n for names in LANGUAGE_NAMES.values() for n in names)
 _ASK = regex.compile(rf"(?i)(?:\b(?:in|en|auf|into|to)\s+|:\s*)(?P<name>{_NAMES})\b|(?P<name>{_NAMES})로")
 _NAMED = {name: code for code, names in LANGUAGE_NAMES.items() for name in names}
-_TASK = regex.compile(r"(?:^|\n)(?:Task|Question|Instruction)s?:\s*(.+?)\s*$", regex.S)
+_TASK = regex.compile(r"(?:^|\n)(?:Task|Question|Instruction)s?:(?=.)", regex.S)
 _BLOCK = regex.compile(r"### Instruction\s*\n(.+?)(?:\n### |\Z)", regex.S)
 _FENCE = regex.compile(r"^```\w*\s*|\s*```$")
 _LABEL = regex.compile(r"(?i)^(?:answer|response|output|result|summary|question|prompt|q|a|task|instruction|frage|aufgabe|pregunta|tarea|tâche|질문|you asked)s?\s*:\s*")
-_HAS_TEXT, _NUMBERS, _MARKS = regex.compile(r"[\p{L}\p{N}]"), regex.compile(r"\p{N}+"), regex.compile(r"[^\p{L}' ]+")
+_HAS_TEXT = regex.compile(r"[\p{L}\p{N}]")
 _FENCE_START, _CITED = regex.compile(r"^```\w*\s*"), regex.compile(r"\[\d+\]|\[[A-Z]")
-_NOTE = regex.compile(r"^(?:note|hinweis|remarque|nota|참고)\s*:\s*")
+_NOTE = regex.compile(r"(?:note|hinweis|remarque|nota|참고)\s*:\s*")
 _PARTS, _LINES = regex.compile(r"(?<=[.?!])\s+"), regex.compile(r"(?<=[.?!])\s+|\n+")
 _TAG = regex.compile(r"</?\w+>")
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Zs}\s]+")
-_WORDLESS = regex.compile(r"[^\p{L}\p{N}]+")
+# What isn't kept becomes a blank.
+_PLAIN, _OPENING = CharTable(r"[\p{L}\p{N}]"), CharTable(r"[\p{L}' ]")
 _SENTENCE = regex.compile(r"(?<=[.!?。！？])\s+|\n+")
 _CUES = regex.compile("|".join(INABILITY))
 _REFUSED, _CUT = regex.compile(REFUSED_ERROR, regex.I), regex.compile(CUT_ERROR, regex.I)
+_LINE_EDGES = regex.compile(r"(?m)^[>\s\"'`*-]+|[\"'`*\s]+$")
 _ENDED = regex.compile(r"[.!?。！？][\"'”’»)\]*_`]*$|[:;]?[)\]}\"”»]$")
 _REFERENCE_END = regex.compile(r"(?i)(?:^|[.!?\]] )(?:see|see also|siehe|vgl|voir|véase)\b[^.]*(?:\w+\. )?#?\d+$|(?:^|\n)[\p{L} ]{2,30}: ?[\p{L}\p{N}.,%]+$")
 _BROKEN = regex.compile(r"(?:…|\.\.\.|[\[(<]\s*(?:truncated|cut|continued|…|\.\.\.)\s*[\])>]?|<\|?|<\|[^|]*\|?>?|[,;(\[{/–-])$", regex.I)
+# What a broken end ends with, "<|" and what follows it aside.
+_BROKEN_ENDS = ("…", "...", *"dDtT[](){}<>|/,;–-")
 
 
 def question(prompt: str) -> str:
     """What a prompt asks: its task line or instruction block, else its first paragraph."""
     if m := _TASK.search(prompt):
-        return m[1].strip()
-    if m := _BLOCK.search(prompt):
+        return prompt[m.end() :].strip()
+    if "### Instruction" in prompt and (m := _BLOCK.search(prompt)):
         return m[1].strip()
     return prompt.strip().split("\n\n")[0].strip()
 
 
 def plain(text: str) -> str:
-    return _WORDLESS.sub(" ", text.lower()).strip()
+    return " ".join(text.lower().translate(_PLAIN).split())
+
+
+def blanks(text: str) -> str:
+    """Runs of blanks and invisible signs as one blank, none at the ends."""
+    if text.replace("\n", " ").isprintable():
+        return " ".join(text.split())  # nothing but blanks and line ends to replace
+    return _INVISIBLE.sub(" ", text).strip()
 
 
 def bare(text: str) -> str:
     """An answer without fences, tags, labels, quotes and blanks around it."""
-    out = _INVISIBLE.sub(" ", _TAG.sub(" ", text) if "<" in text else text).strip()
+    out = blanks(_TAG.sub(" ", text) if "<" in text else text)
     while True:
         less = _LABEL.sub("", _FENCE.sub("", out) if "`" in out else out).strip()
         if less == out:
@@ -101,19 +113,26 @@ def bare(text: str) -> str:
 
 
 def bare_lines(text: str) -> str:
-    return regex.sub(r"(?m)^[>\s\"'`*-]+|[\"'`*\s]+$", "", _FENCE.sub("", text.strip()))
+    out = _FENCE.sub("", text.strip()) if "`" in text else text.strip()
+    if out.isprintable():
+        return out.lstrip(" >\"'`*-").rstrip(" \"'`*")  # one line
+    return _LINE_EDGES.sub("", out)
 
 
 def openings(sentences: list[str]) -> list[str]:
     """The first two sentences in normal form: lower case, digits and a label before them left out."""
     out = []
     for sentence in sentences[:3]:
-        sentence = _NOTE.sub("", sentence.lower().replace("’", "'"))
+        sentence = sentence.lower().replace("’", "'")
+        if m := _NOTE.match(sentence):
+            sentence = sentence[m.end() :]
         quoted = sentence[:1] in "\"“«'„"
-        words = _MARKS.sub(" ", _NUMBERS.sub(" ", sentence)).split()
+        words = sentence.translate(_OPENING).split()
         if words:
             out.append(("« " if quoted else "") + " ".join(words))
-    return out[:2]
+        if len(out) == 2:
+            break
+    return out
 
 
 def parse_json(text: str) -> bool | None:
@@ -134,7 +153,7 @@ def broken_off(answer: str) -> bool:
     if whole is not None:
         return not whole
     tail = text[-120:]  # all of these are anchored at the end
-    if _BROKEN.search(tail):
+    if (tail.endswith(_BROKEN_ENDS) or "<|" in tail) and _BROKEN.search(tail):
         return True
     if _ENDED.search(tail) or _REFERENCE_END.search(tail):
         return False
@@ -147,30 +166,58 @@ def broken_off(answer: str) -> bool:
     return ends_open or not listed
 
 
-def check(prompt: str | None, answer: str | None, error: str | None, model: LanguageModel, core: str | None = None) -> str | None:
+class Question:
+    """What the checks need of a question, each worked out when first asked for."""
+
+    def __init__(self, asked: str, model: LanguageModel):
+        self.asked, self.model = asked, model
+
+    @cached_property
+    def wordings(self) -> tuple[str, str]:
+        return plain(self.asked), plain(_ASK.sub("", self.asked))
+
+    @cached_property
+    def parts(self) -> set[str]:
+        return {plain(x) for x in _PARTS.split(self.asked)} | {plain(self.asked)}
+
+    @cached_property
+    def wanted(self) -> str | None:
+        """The language of the answer: the last one named, else the question's own."""
+        names = [_NAMED.get(m["name"].lower()) for m in _ASK.finditer(self.asked)]
+        return next((x for x in reversed(names) if x), None) or self.model.guess(self.asked)
+
+
+def check(prompt: str | None, answer: str | None, error: str | None, model: LanguageModel, core: str | None = None, asks: Question | None = None) -> str | None:
     """The defect of a pair by itself, refusals with text aside."""
     text, ask, said = answer or "", prompt or "", error or ""
     core = bare(text) if core is None else core
     if not core or core.lower().strip(" \"'`*") in NOTHING or not _HAS_TEXT.search(core):
         return "refusal" if _REFUSED.search(said) else "empty"
-    asked = question(ask)
+    asks = asks or Question(question(ask), model)
+    asked = asks.asked
     if len(core) <= 3 * len(asked) + 40 or 0.7 * len(ask) <= len(core) <= 1.3 * len(ask) + 40:
         mine = plain(core)
-        # Only an answer of the prompt's length can be the prompt.
-        whole = plain(bare(ask)) if 0.7 * len(ask) <= len(core) else ""
-        if len(mine) >= 8 and (mine in (whole, plain(asked), plain(_ASK.sub("", asked))) or whole and len(mine) >= 0.9 * len(whole) and whole.startswith(mine)):
-            return "copy"
-        parts = {plain(x) for x in _PARTS.split(asked)} | {plain(asked)}
-        said_parts = {plain(_LABEL.sub("", x.strip())) for x in _LINES.split(bare_lines(text))} - {""}
-        if said_parts <= parts and any(len(x) >= 8 for x in said_parts):
-            return "copy"
+        if len(mine) >= 8:
+            if mine in asks.wordings:
+                return "copy"
+            # Only an answer of the prompt's length can be the prompt.
+            whole = plain(bare(ask)) if 0.7 * len(ask) <= len(core) else ""
+            if whole and len(mine) >= 0.9 * len(whole) and whole.startswith(mine):
+                return "copy"
+        longest = 0
+        for x in _LINES.splititer(bare_lines(text)):
+            part = plain(_LABEL.sub("", x.strip()))
+            if part and part not in asks.parts:
+                break  # one part of its own is enough
+            longest = max(longest, len(part))
+        else:
+            if longest >= 8:
+                return "copy"
     if _CUT.search(said) or broken_off(text):
         return "truncated"
     if parse_json(text) is None:
-        names = [_NAMED.get(m["name"].lower()) for m in _ASK.finditer(asked)]
-        wanted = next((x for x in reversed(names) if x), None) or model.guess(asked)
         is_ = model.guess(core)
-        if wanted and is_ and wanted != is_:
+        if asks.wanted and is_ and asks.wanted != is_:
             return "wrong_language"
     return None
 
@@ -195,15 +242,22 @@ def defective_pairs(traces: DataFrame, labelled: DataFrame, min_prompts: int = 3
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = LanguageModel.of(shared.value)
+
+        def ask(asked: str) -> tuple[Question, int]:
+            return Question(asked, known), _hash(asked)
+
+        met = lru_cache(5_000)(ask)  # a question recurs over many articles; long ones aren't kept
         for batch in batches:
             rows = []
             for id_, prompt, answer, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 core = bare(answer or "")
-                defect = check(prompt, answer, error, known, core)
+                wording = question(prompt or "")
+                asks, asked = met(wording) if len(wording) <= 500 else ask(wording)
+                defect = check(prompt, answer, error, known, core, asks)
                 sentences = [x for x in _SENTENCE.split(core) if x.strip()]
                 if parse_json(core) is not None and not _CUES.search(core.lower()):
                     sentences = []  # fields of an answer are no opening
-                rows.append((id_, defect, openings(sentences), len(sentences), _hash(question(prompt or ""))))
+                rows.append((id_, defect, openings(sentences), len(sentences), asked))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int64())],
@@ -219,12 +273,11 @@ def defective_pairs(traces: DataFrame, labelled: DataFrame, min_prompts: int = 3
         .select("trace_id", "v.*")
     )
     rows = checkpoint(rows)
-    told = F.col("text").rlike("|".join(INABILITY))
     opened = rows.select("trace_id", "n_sentences", "asked", F.coalesce(F.col("defect") == "truncated", F.lit(False)).cast("int").alias("cut"), F.explode("openings").alias("text")).where(~F.col("text").startswith("«"))
     # Summed by text before anything else; an answer's prompts and sentences go with its opening.
     stats = opened.groupBy("text", "asked").agg(F.count(F.lit(1)).alias("n"), F.sum("n_sentences").alias("s"), F.sum("cut").alias("cut")).groupBy("text").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("prompts"), (F.sum("s") / F.sum("n")).alias("sentences"), (F.sum("cut") / F.sum("n")).alias("cut")
-    ).withColumn("told", told)
+    )
     said = checkpoint(stats)
     # What was said once counts as well: its prompt is one of its class's, and it can tie others.
     rep = checkpoint(minhash.classes(said.select("text")))
@@ -234,9 +287,10 @@ def defective_pairs(traces: DataFrame, labelled: DataFrame, min_prompts: int = 3
     classed = rep.join(said, "text").withColumn("head", head)
     # Prompts of a class: each counts once, whatever the wording it got.
     of_class = opened.join(rep, "text").select("rep", "asked").distinct().groupBy("rep").agg(F.count(F.lit(1)).alias("of_class"))
-    templates = checkpoint(classed.join(unslotted, "head", "left_semi").join(of_class.where(F.col("of_class") >= min_prompts).select("rep"), "rep", "left_semi").select("text", "told", "sentences", "prompts", "cut"))
+    templates = checkpoint(classed.join(unslotted, "head", "left_semi").join(of_class.where(F.col("of_class") >= min_prompts).select("rep"), "rep", "left_semi").select("text", "sentences", "prompts", "cut"))
     whole = (F.col("sentences") <= WHOLE) & (F.col("cut") < 0.5) & (F.col("prompts") >= min_prompts) & (F.size(F.split("text", " ")) >= LEAST_WORDS)
-    refusals = templates.where(F.col("told") | whole).select("text")
+    told = F.col("text").rlike("|".join(INABILITY))
+    refusals = templates.where(told | whole).select("text")
     refused = (
         opened.where(F.col("n_sentences") <= longest).join(refusals, "text", "left_semi").select("trace_id").distinct().withColumn("refused", F.lit(True))
     )

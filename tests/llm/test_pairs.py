@@ -1,3 +1,8 @@
+import random
+
+import regex
+
+from biblion.llm import lang, minhash, pairs
 from biblion.llm.lang import LanguageModel
 from biblion.llm.minhash import classes, jaccard
 from biblion.llm.pairs import broken_off, check, defective_pairs, question
@@ -63,3 +68,48 @@ def test_classes_against_brute_force(spark):
     texts = [" ".join([*base, "one"]), " ".join([*base, "two"]), " ".join(reversed(base)), "short text", "other"]
     got = {r.text: r.rep for r in classes(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
     assert jaccard(texts[0], texts[1]) >= 0.8 and got[texts[0]] == got[texts[1]] and len(set(got.values())) == 4
+
+
+def test_a_part_of_its_own_ends_the_copy_check(monkeypatch):
+    """However many sentences an answer has, the first that isn't the question's settles it; a question's own parts are worked out once."""
+    calls, plain = [], pairs.plain
+    monkeypatch.setattr(pairs, "plain", lambda text: calls.append(text) or plain(text))
+    q = "Say what the article finds. " * 40
+    assert check(q, " ".join(f"The nurses saw {w} in it." for w in ["plums", "pears", "figs"] * 15), None, MODEL) is None
+    before, shared = len(calls), pairs.Question(question(q), MODEL)
+    assert before < 60
+    for _ in range(20):
+        assert check(q, EN, None, MODEL, asks=shared) is None
+    assert len(calls) - before < 120
+    assert check(q + "Name the wards.", "Name the wards. Say what the article finds.", None, MODEL) == "copy"
+
+
+def test_tables_and_shortcuts_against_their_patterns():
+    """Tables of signs keep what the patterns keep; short ways round a pattern give what the pattern gives."""
+    signs = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for table, kept in [(pairs._PLAIN, r"[\p{L}\p{N}]"), (pairs._OPENING, r"[\p{L}' ]"), (lang._LETTERS, r"[\p{L}']")]:
+        assert "".join(signs).translate(table) == regex.sub(rf"{kept}(*SKIP)(*FAIL)|.", " ", "".join(signs), flags=regex.S)
+    draw = random.Random(5)
+    odd = ["\u200b", "\n", "  ", "\x1c", "\xa0", "…", "...", "<|", "|>", "[cut", "(Truncated )", "</b>", "İs", "Σ", "½", "é", "> - a", '"', "`", "Task:", "Task: x", " word", "end.", ";", "–", "다"]
+    for _ in range(3000):
+        text = "".join(draw.choices(odd, k=draw.randint(1, 7)))
+        assert pairs.blanks(text) == regex.sub(r"[\p{Cf}\p{Zs}\s]+", " ", text).strip()
+        assert pairs.plain(text) == regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).strip()
+        assert not (end := text.strip()) or not pairs._BROKEN.search(end) or end.endswith(pairs._BROKEN_ENDS) or "<|" in end
+        assert pairs.bare_lines(text) == regex.sub(r"(?m)^[>\s\"'`*-]+|[\"'`*\s]+$", "", pairs._FENCE.sub("", text.strip()))
+        task = regex.search(r"(?:^|\n)(?:Task|Question|Instruction)s?:\s*(.+?)\s*$", text, regex.S)
+        assert task is None or question(text) == task[1].strip()
+
+
+def test_runs_are_what_the_hashes_stand_for():
+    for text in ("one", "a b c d", "a b c d e", "a b c d e a b c d e f", "x " * 20):
+        assert {minhash.xxhash.xxh64_intdigest(" ".join(r)) for r in minhash.runs(text)} == set(minhash.shingles(text).tolist())
+
+
+def test_word_scores_add_up():
+    """Sums by word, each kept, are the sums over the grams of the whole text."""
+    text = "The wards and the nurses. Die Klinik, l'été 2020 und the wards"
+    found = [g for g in lang.grams(text) if g in MODEL.weights]
+    sums, n = MODEL.scores(text)
+    assert n == len(found) and all(abs(s - sum(MODEL.weights[g][i] for g in found)) < 1e-9 for i, s in enumerate(sums))
+    assert MODEL.scores("12 — 3") == ([0.0, 0.0], 0) and MODEL.scores("the the")[1] == 2 * MODEL.scores("the")[1]
